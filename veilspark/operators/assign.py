@@ -43,7 +43,7 @@ def match(costs: list[np.ndarray], items: list[np.ndarray], complete: bool) -> n
         row, base, passed = start, 0.0, []
         while True:
             reach = base + costs[row] - row_price[row] - item_price[items[row]]
-            nearer = reach < dist[items[row]]
+            nearer = (reach < dist[items[row]]) & ~closed[items[row]]
             dist[items[row][nearer]], via[items[row][nearer]] = reach[nearer], row
             ahead = np.where(closed, np.inf, dist)
             item = int(ahead.argmin())
@@ -113,6 +113,8 @@ def assign_one_to_one(rows: DataFrame, row_id: str, parents: DataFrame, parent_i
                        .select(F.col("_row").alias(row_id), "batch", "parent_id"))
         failed = solved.filter(F.col("parent_id").isNull()).select("batch").distinct()
         pending = cut(pending.join(failed, "batch", "left_semi"))
+        if complete and not pending.isEmpty():
+            raise RuntimeError("a batch with enough parents could not be matched")
         k = min(4 * k, n_parents, batch_size)
     best = results[0]
     for r in results[1:]:

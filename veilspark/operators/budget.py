@@ -22,7 +22,6 @@ from pyspark.sql.window import Window
 from ..functions.draws import Draws, choice_draw
 from ..schema import RelationalSchema
 
-ALL = Window.partitionBy()
 QUERY_TYPES = ("1way", "2way", "cross_table")
 RDP_ORDERS = (1.5, 2.0, 3.0, 5.0, 10.0, 25.0, 50.0, 100.0)
 MAX_TABLE_SETS = 50_000
@@ -43,10 +42,10 @@ def table_weights(stats: DataFrame) -> DataFrame:
     """Structural weight of each table, as a share of all tables."""
     raw = ((F.col("n_attrs") + F.col("n_children") + F.col("n_parents"))
            * F.log1p(F.greatest("n_rows", F.lit(1)).cast("double")))
-    total = F.sum("_raw").over(ALL)
+    total = F.sum("_raw").over(Window.partitionBy())
     return (stats.withColumn("_raw", raw)
             .withColumn("weight", F.when(total > 0, F.col("_raw") / total)
-                        .otherwise(1.0 / F.count(F.lit(1)).over(ALL)))
+                        .otherwise(1.0 / F.count(F.lit(1)).over(Window.partitionBy())))
             .drop("_raw"))
 
 
@@ -97,10 +96,10 @@ def effective_floor(eps_total: float, eps_min: float, n_tables: Column) -> Colum
 
 def normalize(alloc: DataFrame, eps_total: float, eps_min: float) -> DataFrame:
     """Scale to the total, raise to the floor, scale again if the floors moved the sum."""
-    n = F.count(F.lit(1)).over(ALL)
+    n = F.count(F.lit(1)).over(Window.partitionBy())
     floor = effective_floor(eps_total, eps_min, n)
-    total = F.sum("eps").over(ALL)
-    raised = F.sum("_floored").over(ALL)
+    total = F.sum("eps").over(Window.partitionBy())
+    raised = F.sum("_floored").over(Window.partitionBy())
     return (alloc
             .withColumn("_floored", F.when(total < 1e-15, eps_total / n)
                         .otherwise(F.greatest(F.col("eps") * (eps_total / total), floor)))
@@ -111,8 +110,8 @@ def normalize(alloc: DataFrame, eps_total: float, eps_min: float) -> DataFrame:
 
 
 def _split_by(df: DataFrame, share: Column, eps_total: float, eps_min: float) -> DataFrame:
-    n = F.count(F.lit(1)).over(ALL)
-    total = F.sum("_share").over(ALL)
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    total = F.sum("_share").over(Window.partitionBy())
     raw = (df.withColumn("_share", share)
            .withColumn("_total", total)
            .select("table_name", "_total", F.when(F.col("_total") > 1e-15, F.greatest(
@@ -122,7 +121,7 @@ def _split_by(df: DataFrame, share: Column, eps_total: float, eps_min: float) ->
 
 
 def split_equal(stats: DataFrame, eps_total: float) -> DataFrame:
-    return stats.select("table_name", (F.lit(float(eps_total)) / F.count(F.lit(1)).over(ALL)).alias("eps"))
+    return stats.select("table_name", (F.lit(float(eps_total)) / F.count(F.lit(1)).over(Window.partitionBy())).alias("eps"))
 
 
 def split_proportional(stats: DataFrame, workload: DataFrame, eps_total: float,
