@@ -16,10 +16,10 @@ from .registry import check, q6, quoted, r6, table, u_sql
 VALID_CUSTOMER = "o_custkey IN (SELECT c_custkey FROM customer)"
 
 
-@check(f"WITH {ORDERS_COPY} SELECT o_orderkey, o_custkey FROM orders_copy WHERE o_custkey IS NULL OR NOT {VALID_CUSTOMER}")
+@check(f"WITH {ORDERS_COPY} SELECT o_orderkey, o_custkey::VARCHAR AS o_custkey FROM orders_copy WHERE o_custkey IS NULL OR NOT {VALID_CUSTOMER}")
 def fk_violating_rows(spark, sf_dir):
     return fk_violations(orders_copy(spark, sf_dir), "o_custkey", table(spark, sf_dir, "customer"), "c_custkey").select(
-        "o_orderkey", "o_custkey")
+        "o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"))
 
 
 def report_sql(label, child, child_col, parent, parent_col):

@@ -35,7 +35,7 @@ PAIRS = "pairs AS (" + " UNION ALL ".join(
 def line_pairs(spark, sf_dir):
     codes, sizes = line_codes(spark, sf_dir)
     families = M.layout(M.all_pairs(LINE), sizes)
-    return M.dense_counts(spark, families, M.pair_counts(codes, families))
+    return M.dense_counts(spark, families, M.cell_counts(codes, families))
 
 
 @check(" UNION ALL ".join(f"SELECT '{c}' AS family, {c} AS code, count(*) AS cnt FROM (WITH {LINE_CODES} SELECT * FROM codes) GROUP BY {c}" for c in LINE))
@@ -105,7 +105,7 @@ def status_by_priority(spark, sf_dir):
     codec = fit_codec(orders, {}, ["o_orderstatus", "o_orderpriority"], 32,
                       domains={"o_orderstatus": STATES, "o_orderpriority": PRIORITIES})
     families = M.layout([("o_orderstatus", "o_orderpriority")], codec.sizes)
-    dense = M.dense_counts(spark, families, M.pair_counts(codec.encode(orders), families))
+    dense = M.dense_counts(spark, families, M.cell_counts(codec.encode(orders), families))
     return M.noisy_marginals(dense, orders.agg(F.count(F.lit(1))).scalar(), EPS, DRAWS)
 
 

@@ -16,6 +16,7 @@ release, ``seed`` must be a fresh secret that is thrown away afterwards.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -93,22 +94,30 @@ def cumulative(weights: Sequence[float]) -> list[float]:
     return out
 
 
-def step_index(u: Column, cdf: Column) -> Column:
-    """How many entries of an ascending array are at most ``u``: the drawn position.
+def count_at_most(x: Column, ascending: Column, width: int) -> Column:
+    """How many entries of an ascending array of at most ``width`` entries are at most ``x``.
 
-    Both arguments are bound once through a one-element array, so that an expensive draw is not
-    evaluated again for every entry.
+    A binary search of fixed depth.  Both arguments are bound once through a one-element array, so
+    that an expensive draw is not evaluated again at every step.
     """
-    bound = F.array(F.struct(u.alias("u"), cdf.alias("cdf")))
-    found = F.transform(bound, lambda s: F.least(
-        F.size(F.filter(s["cdf"], lambda c: c <= s["u"])), F.size(s["cdf"]) - 1))
-    return F.element_at(found, 1)
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(max(width, 1).bit_length()))])
+    bound = F.array(F.struct(x.alias("x"), ascending.alias("a")))
+
+    def search(s):
+        return F.aggregate(steps, F.lit(0), lambda found, step: F.when(
+            F.get(s["a"], found + step - 1) <= s["x"], found + step).otherwise(found))
+    return F.element_at(F.transform(bound, search), 1)
+
+
+def step_index(u: Column, cdf: Column, width: int) -> Column:
+    """The drawn position: entries of the cumulative array that are at most ``u``, kept inside."""
+    return F.least(count_at_most(u, cdf, width), F.size(cdf) - 1)
 
 
 def weighted_choice_draw(u: Column, values: Sequence, weights: Sequence[float]) -> Column:
     """Pick from a list of literals with given weights."""
     cdf = F.array(*[F.lit(c) for c in cumulative(weights)])
-    return F.element_at(F.array(*[F.lit(v) for v in values]), step_index(u, cdf) + 1)
+    return F.element_at(F.array(*[F.lit(v) for v in values]), step_index(u, cdf, len(values)) + 1)
 
 
 # Coefficients of the published rational approximation of the normal quantile
@@ -143,9 +152,7 @@ def normal_quantile(p: Column) -> Column:
             .otherwise(middle))
 
 
-def normal_cdf(z: Column) -> Column:
-    """Standard normal distribution function (Abramowitz and Stegun 26.2.17, error < 7.5e-8)."""
-    t = 1.0 / (1.0 + 0.2316419 * F.abs(z))
-    poly = t * _horner((1.330274429, -1.821255978, 1.781477937, -0.356563782, 0.319381530), t)
-    upper = poly * F.exp(-z * z / 2.0) * 0.3989422804014327
-    return F.when(z < 0, upper).otherwise(1.0 - upper)
+def normal_pair(u: Column, v: Column) -> tuple[Column, Column]:
+    """Two independent standard normal draws from two uniform ones (Box and Muller)."""
+    radius, angle = F.sqrt(-2.0 * F.log(u)), v * (2.0 * math.pi)
+    return radius * F.cos(angle), radius * F.sin(angle)

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.draws import Draws, normal_cdf, normal_quantile, step_index
+from ..functions.draws import Draws, normal_pair, normal_quantile, step_index
 from .encode import Codec, fit_codec
 from .marginals import Family, all_pairs, cell_counts, dense_counts, layout
 
@@ -83,16 +84,22 @@ def sample_copula(spark: SparkSession, copula: Copula, n: int, draws: Draws, sco
     back through each column's own distribution."""
     k = len(copula.columns)
     factor = np.linalg.cholesky(copula.correlation * (1 - 1e-9) + 1e-9 * np.eye(k))
-    rows = spark.range(1, n + 1).withColumnRenamed("id", "_rid")
-    rows = rows.select("_rid", *[normal_quantile(draws.uniform("copula", scope, c, F.col("_rid"))).alias(f"_z{i}")
-                                 for i, c in enumerate(copula.columns)])
-    codes = []
-    for i, c in enumerate(copula.columns):
-        mixed = F.lit(0.0)
-        for j in range(i + 1):
-            if factor[i, j]:
-                mixed = mixed + float(factor[i, j]) * F.col(f"_z{j}")
-        cdf = F.array(*[F.lit(float(x)) for x in np.minimum(np.cumsum(copula.shares[c]), 1.0)])
-        codes.append(step_index(normal_cdf(mixed), cdf).alias(c))
-    coded = rows.select("_rid", *codes)
+    names = list(enumerate(copula.columns))
+    # one projection per step, as each step uses the one before several times
+    u = spark.range(1, n + 1).select(F.col("id").alias("_rid"), *[
+        draws.uniform("copula", scope, i, F.col("id")).alias(f"_u{i}") for i in range(k + k % 2)])
+    z = u.select("_rid", *[normal_pair(F.col(f"_u{i - i % 2}"), F.col(f"_u{i - i % 2 + 1}"))[i % 2].alias(f"_z{i}")
+                           for i in range(k)])
+    mixed = z.select("_rid", *[
+        sum((float(factor[i, j]) * F.col(f"_z{j}") for j in range(i + 1)), F.lit(0.0)).alias(f"_m{i}") for i, _ in names])
+    coded = mixed.select("_rid", *[
+        step_index(F.col(f"_m{i}"), _thresholds(copula.shares[c]), len(copula.shares[c])).alias(c) for i, c in names])
     return copula.codec.decode(coded, ["_rid"], draws, scope=f"copula/{scope}", order=copula.columns)
+
+
+def _thresholds(shares: Sequence[float]) -> Column:
+    """Normal scores up to which each code reaches."""
+    ends = np.minimum(np.cumsum(shares), 1.0)
+    ends[-1] = 1.0
+    normal = NormalDist()
+    return F.array(*[F.lit(normal.inv_cdf(float(x)) if 0 < x < 1 else float("inf") * (1 if x >= 1 else -1)) for x in ends])

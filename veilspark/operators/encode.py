@@ -43,13 +43,17 @@ def from_number(value: Column, dtype: T.DataType) -> Column:
 
 def numeric_bounds(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, lo, hi): padded range of every column, all in one pass; NaN and null ignored."""
-    values = [F.nanvl(as_number(df, c), F.lit(None).cast("double")) for c in columns]
-    packed = df.agg(*[f(v).alias(f"{f.__name__}_{i}") for i, v in enumerate(values) for f in (F.min, F.max)])
+    packed = df.agg(*_bound_columns(df, columns))
     return packed.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), (F.col(f"min_{i}") - PAD).alias("lo"),
                  (F.col(f"max_{i}") + PAD).alias("hi")) for i, c in enumerate(columns)])))
 
 
+def _bound_columns(df: DataFrame, columns: list[str]) -> list[Column]:
+    values = [F.nanvl(as_number(df, c), F.lit(None).cast("double")) for c in columns]
+    return [f(v).alias(f"{f.__name__}_{i}") for i, v in enumerate(values) for f in (F.min, F.max)]
+
+
 def bin_code(x: Column, lo, hi, num_bins: int) -> Column:
     """Equal-width bin 0..num_bins-1, clamped; NaN goes to the top bin, null stays null."""
     lo, hi = (v if isinstance(v, Column) else F.lit(float(v)) for v in (lo, hi))
@@ -185,14 +189,14 @@ def fit_codec(df: DataFrame, dtypes: Mapping[str, str], columns: list[str] | Non
     bounds, domains = dict(bounds or {}), dict(domains or {})
     numeric = [c for c in columns if dtypes.get(c) == NUMERICAL]
     text = [c for c in columns if c not in numeric]
-    nulls = set()
-    if null_policy == "category":
-        flags = df.agg(*[F.max(F.col(c).isNull()).alias(c) for c in columns]).first()
-        nulls = {c for c in columns if flags[c]}
     seek = [c for c in numeric if c not in bounds]
-    if seek:
-        for r in numeric_bounds(df, seek).collect():
-            bounds[r["column_name"]] = (r["lo"], r["hi"]) if r["lo"] is not None else (0.0, 1.0)
+    ends = _bound_columns(df, seek)
+    flags = [F.max(F.col(c).isNull()).alias(f"null_{i}") for i, c in enumerate(columns)]
+    facts = df.agg(*ends, *flags).first()
+    nulls = {c for i, c in enumerate(columns) if facts[f"null_{i}"]} if null_policy == "category" else set()
+    for i, c in enumerate(seek):
+        lo, hi = facts[f"min_{i}"], facts[f"max_{i}"]
+        bounds[c] = (lo - PAD, hi + PAD) if lo is not None else (0.0, 1.0)
     capped: set[str] = set()
     seek = [c for c in text if c not in domains]
     if seek:

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import NUMERICAL, RelationalSchema, Table
 from ..sources.io import Tables, union_all
@@ -81,7 +82,8 @@ def cross_mean(child: DataFrame, child_col: str, parent: DataFrame, parent_col:
 
     What is no number counts as missing; an empty join has the mean 0.
     """
-    x = F.col(column).try_cast("double")
+    is_text = isinstance(parent.schema[column].dataType, T.StringType)
+    x = F.col(column).try_cast("double") if is_text else as_number(parent, column)
     x = F.when(~F.isnan(x), x)
     c = child.groupBy(F.col(child_col).alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
     p = parent.select(F.col(parent_col).alias("_k"), x.alias("_x")).groupBy("_k").agg(
@@ -120,8 +122,9 @@ def tv_numeric(real: DataFrame, syn: DataFrame, columns: Sequence[str], num_bins
             if lo is None:
                 continue
             x = F.col(c)
-            code = (F.least(F.floor((x - lo) / (hi - lo) * num_bins), F.lit(num_bins - 1)) if hi > lo
-                    else F.when(x.isNotNull(), 0))
+            # least() skips nulls, so missing values have to be kept out first
+            code = F.when(x.isNotNull(), F.least(F.floor((x - lo) / (hi - lo) * num_bins), F.lit(num_bins - 1))
+                          if hi > lo else 0)
             pairs.append(F.struct(F.lit(c).alias("column_name"), code.cast("string").alias("value")))
         return _long_counts(df, pairs, side)
     return _tv(binned(r, "r"), binned(s, "s"), columns)

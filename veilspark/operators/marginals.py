@@ -25,7 +25,6 @@ from pyspark.sql.window import Window
 from ..functions.draws import Draws
 
 MAX_CELLS = 5_000_000
-BLOCK_CELLS = 20_000
 LOG_FLOOR = 1e-15
 
 
@@ -60,47 +59,15 @@ def layout(families: Sequence[Sequence[str]], sizes: Mapping[str, int], max_cell
 
 
 def cell_counts(codes: DataFrame, families: Sequence[Family]) -> DataFrame:
-    """(cell, cnt) of all families in one pass over the rows."""
+    """(cell, cnt) of all families in one pass over the rows.
+
+    Each row is multiplied by the number of families, but only as one integer each, and partial
+    aggregation shrinks them to the non-empty cells before the shuffle.
+    """
     cells = codes.select(F.explode(F.array(*[f.flat() for f in families])).alias("cell"))
     return cells.groupBy("cell").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def cover_pairs(pairs: Sequence[tuple[str, str]], sizes: Mapping[str, int],
-                block_cells: int = BLOCK_CELLS) -> list[tuple[list[str], list[tuple[str, str]]]]:
-    """Few column blocks of limited size that together contain all pairs: [(columns, pairs)]."""
-    left = sorted(pairs, key=lambda p: sizes[p[0]] * sizes[p[1]])
-    blocks = []
-    while left:
-        block = list(left[0])
-        for c in sorted({c for p in left for c in p} - set(block), key=lambda c: sizes[c]):
-            if prod(sizes[b] for b in block) * sizes[c] <= block_cells:
-                block.append(c)
-        inside = [p for p in left if set(p) <= set(block)]
-        blocks.append((block, inside))
-        left = [p for p in left if p not in inside]
-    return blocks
-
-
-def pair_counts(codes: DataFrame, families: Sequence[Family], block_cells: int = BLOCK_CELLS) -> DataFrame:
-    """Like ``cell_counts`` for two-column families, but each row is multiplied by the number of
-    blocks that cover the pairs instead of the number of pairs; blocks are then split into pairs
-    on the counted cells only."""
-    by_pair = {f.columns: f for f in families}
-    sizes = {c: s for f in families for c, s in zip(f.columns, f.sizes)}
-    cover = cover_pairs(list(by_pair), sizes, block_cells)
-    blocks = layout([b for b, _ in cover], sizes, max_cells=2**62)
-    split = F.lit(None).cast("array<bigint>")
-    for block, (_, pairs) in zip(blocks, cover):
-        def code(column, block=block):
-            i = block.columns.index(column)
-            stride = prod(block.sizes[i + 1:])
-            return F.pmod(F.floor((F.col("cell") - block.offset) / stride), F.lit(block.sizes[i]))
-        here = (F.col("cell") >= block.offset) & (F.col("cell") < block.offset + block.cells)
-        split = F.when(here, F.array(*[by_pair[p].flat(code) for p in pairs])).otherwise(split)
-    return (cell_counts(codes, blocks).select(F.explode(split).alias("cell"), "cnt")
-            .groupBy("cell").agg(F.sum("cnt").alias("cnt")))
-
-
 def cell_grid(spark: SparkSession, families: Sequence[Family]) -> DataFrame:
     """Every cell of every family, empty ones too: (family, columns, pidx, code, cell)."""
     rows = [(f.name, f.offset, f.cells // f.sizes[-1], f.sizes[-1]) for f in families]

@@ -13,7 +13,7 @@ from ..functions.scaling import cut
 from .encode import Codec, fit_codec
 from .marginals import (MAX_CELLS, Family, all_pairs, cell_counts, conditional_tables, cpt_families,
                         dense_counts, greedy_network, layout, mutual_information, noisy_marginals,
-                        pair_counts, symmetric_scores)
+                        symmetric_scores)
 
 Network = Sequence[tuple[str, tuple[str, ...]]]
 
@@ -52,7 +52,7 @@ def fit_network(codes: DataFrame, sizes: Mapping[str, int], n_rows: int, eps: fl
     if len(columns) == 1:
         return [(columns[0], ())]
     families = layout(all_pairs(columns), sizes)
-    dense = dense_counts(codes.sparkSession, families, pair_counts(codes, families))
+    dense = dense_counts(codes.sparkSession, families, cell_counts(codes, families))
     mi = mutual_information(noisy_marginals(dense, n_rows, eps, draws))
     scores = {(r["a"], r["b"]): r["mi"] for r in symmetric_scores(mi).collect()}
     return greedy_network(columns, scores, max_parents)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.draws import count_at_most
 from ..functions.scaling import cut
 
 CELL_PARENTS = 32
@@ -52,9 +53,7 @@ def _slab(x: Column, edges: Sequence[float]) -> Column:
     """Index of the slab a value falls in: how many inner edges are at most the value."""
     if not edges:
         return F.lit(0)
-    arr = F.array(*[F.lit(e) for e in edges])
-    bound = F.transform(F.array(x), lambda v: F.size(F.filter(arr, lambda e: e <= v)))
-    return F.element_at(bound, 1)
+    return count_at_most(x, F.array(*[F.lit(e) for e in edges]), len(edges))
 
 
 def _edge(index: Column, edges: Sequence[float]) -> Column:

@@ -37,7 +37,7 @@ def sample_codes(rows: DataFrame, families: Sequence[Family], cpt: DataFrame, dr
             out = (out.withColumn("_pidx", parents.flat())
                    .join(F.broadcast(table.select(F.col("pidx").alias("_pidx"), F.col("cdf").alias("_cdf"))),
                          "_pidx", "left"))
-        code = step_index(u, F.col("_cdf"))
+        code = step_index(u, F.col("_cdf"), f.sizes[-1])
         out = out.withColumn(f.columns[-1], code.cast("int")).drop("_pidx", "_cdf", f"_u{i}")
     return out
 
