@@ -114,9 +114,15 @@ def step_index(u: Column, cdf: Column, width: int) -> Column:
     return F.least(count_at_most(u, cdf, width), F.size(cdf) - 1)
 
 
+def double_array(values: Sequence[float]) -> Column:
+    """Literal array of doubles, built in one call however long it is."""
+    texts = [f"{float(v)!r}D" if math.isfinite(v) else f"double('{float(v)!r}')" for v in values]
+    return F.expr(f"cast(array({', '.join(texts)}) as array<double>)")
+
+
 def weighted_choice_draw(u: Column, values: Sequence, weights: Sequence[float]) -> Column:
     """Pick from a list of literals with given weights."""
-    cdf = F.array(*[F.lit(c) for c in cumulative(weights)])
+    cdf = double_array(cumulative(weights))
     return F.element_at(F.array(*[F.lit(v) for v in values]), step_index(u, cdf, len(values)) + 1)
 
 

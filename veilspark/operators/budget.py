@@ -152,7 +152,7 @@ def compact_workload(workload: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def split_maxmin(stats: DataFrame, workload: DataFrame, eps_total: float, eps_min: float = 0.05,
-                 rounds: int = 400) -> DataFrame:
+                 rounds: int = 2000) -> DataFrame:
     """Maximise the smallest (budget of a query's tables / query weight).
 
     The log is compacted on the cluster; the remaining game between table sets and tables has one
@@ -173,32 +173,32 @@ def split_maxmin(stats: DataFrame, workload: DataFrame, eps_total: float, eps_mi
 
 def maxmin_rounds(names: Sequence[str], sets: Sequence[tuple[Sequence[str], float]], eps_total: float,
                   eps_min: float, rounds: int) -> np.ndarray:
-    """Bounded multiplicative-weights rounds: hard-pressed table sets gain weight, tables are
-    funded by the weight of the sets they serve, and the running average is the allocation."""
+    """Bounded multiplicative-weights rounds over the free budget above the floors.
+
+    The worse a table set is served, the more weight it gets; every table's share grows by the
+    factor that the weight of its sets commands.  Steps shrink and the focus on the worst sets
+    sharpens round by round; the best allocation met is returned.
+    """
     at = {t: i for i, t in enumerate(names)}
     member = np.zeros((len(sets), len(names)))
-    for q, (tables, _) in enumerate(sets):
-        member[q, [at[t] for t in tables]] = 1.0
-    need = np.array([w for _, w in sets])
+    for q, (tables, w) in enumerate(sets):
+        member[q, [at[t] for t in tables]] = 1.0 / w
     floor = min(eps_min, 0.9 * eps_total / len(names))
     free = eps_total - floor * len(names)
-
-    def worst(alloc):
-        return (member @ alloc / need).min()
-
-    equal = np.full(len(names), eps_total / len(names))
-    best, best_z = equal, worst(equal)
-    score, average = np.zeros(len(sets)), np.zeros(len(names))
-    for r in range(1, rounds + 1):
-        pressure = np.exp(score - score.max()) / need
-        pull = pressure @ member
-        step = np.where(pull >= pull.max() * (1 - 1e-12), 1.0, 0.0)
-        average += (floor + free * step / step.sum() - average) / r
-        achieved = member @ (floor + free * step / step.sum()) / need
-        score -= np.sqrt(np.log(len(sets) + 1) / rounds) * achieved / (achieved.max() or 1.0)
-        z = worst(average)
+    share = np.full(len(names), 1.0 / len(names))
+    best, best_z = np.full(len(names), eps_total / len(names)), -np.inf
+    for r in range(rounds + 1):
+        alloc = floor + free * share if r else best
+        served = member @ alloc
+        z = served.min()
         if z > best_z:
-            best, best_z = average.copy(), z
+            best, best_z = alloc.copy(), z
+        sharp = (4.0 + 0.2 * r) / max(z, 1e-12)
+        weight = np.exp(-sharp * (served - z))
+        pull = weight @ member
+        share = share * np.exp(0.5 / np.sqrt(1.0 + r) * pull / pull.max())
+        share = np.maximum(share / share.sum(), 1e-12)
+        share /= share.sum()
     return best
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.draws import Draws, normal_pair, normal_quantile, step_index
+from ..functions.draws import Draws, double_array, normal_pair, normal_quantile, step_index
 from .encode import Codec, fit_codec
 from .marginals import Family, all_pairs, cell_counts, dense_counts, layout
 
@@ -45,7 +45,7 @@ def histograms(codes: DataFrame, columns: Sequence[str], sizes: Mapping[str, int
 
 def score_correlations(codes: DataFrame, columns: Sequence[str], scores: Mapping[str, Sequence[float]]) -> DataFrame:
     """(a, b, r): correlation of the normal scores of every pair of columns, in one pass."""
-    z = codes.select(*[F.element_at(F.array(*[F.lit(float(s)) for s in scores[c]]), F.col(c) + 1).alias(c)
+    z = codes.select(*[F.element_at(double_array(scores[c]), F.col(c) + 1).alias(c)
                        for c in columns])
     pairs = all_pairs(columns)
     row = z.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
@@ -102,4 +102,4 @@ def _thresholds(shares: Sequence[float]) -> Column:
     ends = np.minimum(np.cumsum(shares), 1.0)
     ends[-1] = 1.0
     normal = NormalDist()
-    return F.array(*[F.lit(normal.inv_cdf(float(x)) if 0 < x < 1 else float("inf") * (1 if x >= 1 else -1)) for x in ends])
+    return double_array([normal.inv_cdf(float(x)) if 0 < x < 1 else float("inf") * (1 if x >= 1 else -1) for x in ends])

@@ -39,7 +39,7 @@ def kway_error(real: DataFrame, syn: DataFrame, columns: Sequence[str]) -> DataF
     s = syn.select(*columns).dropna()
     both = _both_sides(r, s, columns)
     totals = both.agg(F.sum("r").alias("rt"), F.greatest(F.sum("s"), F.lit(1)).alias("st"))
-    gap = F.abs(F.col("r") / totals.select("rt").scalar() - F.col("s") / totals.select("st").scalar())
+    gap = F.abs(F.try_divide("r", totals.select("rt").scalar()) - F.col("s") / totals.select("st").scalar())
     return both.agg(F.count(F.lit(1)).alias("cells"), F.avg(gap).alias("error"))
 
 
@@ -57,7 +57,7 @@ def kway_errors(real: DataFrame, syn: DataFrame, column_sets: Sequence[Sequence[
             .agg(F.sum(F.when(F.col("side") == "r", F.col("n")).otherwise(0)).alias("r"),
                  F.sum(F.when(F.col("side") == "s", F.col("n")).otherwise(0)).alias("s")))
     totals = both.groupBy("columns").agg(F.sum("r").alias("rt"), F.greatest(F.sum("s"), F.lit(1)).alias("st"))
-    gap = F.abs(F.col("r") / F.col("rt") - F.col("s") / F.col("st"))
+    gap = F.abs(F.try_divide("r", "rt") - F.col("s") / F.col("st"))
     return (both.join(F.broadcast(totals), "columns").groupBy("columns")
             .agg(F.count(F.lit(1)).alias("cells"), F.avg(gap).alias("error")))
 

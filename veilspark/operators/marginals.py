@@ -85,7 +85,7 @@ def dense_counts(spark: SparkSession, families: Sequence[Family], counts: DataFr
 
 
 def frequencies(counts: DataFrame, by: Sequence[str] = ("family",)) -> DataFrame:
-    return counts.withColumn("freq", F.col("cnt") / F.sum("cnt").over(Window.partitionBy(*by)))
+    return counts.withColumn("freq", F.try_divide("cnt", F.sum("cnt").over(Window.partitionBy(*by))))
 
 
 def noise_scale(n, eps) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.draws import count_at_most
+from ..functions.draws import count_at_most, double_array
 from ..functions.scaling import cut
 
 CELL_PARENTS = 32
@@ -53,12 +53,12 @@ def _slab(x: Column, edges: Sequence[float]) -> Column:
     """Index of the slab a value falls in: how many inner edges are at most the value."""
     if not edges:
         return F.lit(0)
-    return count_at_most(x, F.array(*[F.lit(e) for e in edges]), len(edges))
+    return count_at_most(x, double_array(edges), len(edges))
 
 
 def _edge(index: Column, edges: Sequence[float]) -> Column:
     """Lower edge of a slab; infinite outside."""
-    arr = F.array(F.lit(-FAR), *[F.lit(e) for e in edges], F.lit(FAR))
+    arr = double_array([-FAR, *edges, FAR])
     return F.element_at(arr, F.least(F.greatest(index, F.lit(0)), F.lit(len(edges) + 1)) + 1)
 
 

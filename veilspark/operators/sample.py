@@ -86,7 +86,7 @@ def draw_keys(rows: DataFrame, parent: DataFrame, key: str, u: Column, name: str
     size = parent.filter(F.col(key).isNotNull()).agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct(F.col(key)).alias("k"))
     total = size.select("n").scalar()
-    width = size.select(F.greatest(F.floor(F.col("n") / F.col("k")), F.lit(1))).scalar()
+    width = size.select(F.greatest(F.floor(F.try_divide("n", "k")), F.lit(1))).scalar()
     placed = (intervals.withColumn("_width", width)
               .withColumn("_cell", F.explode(F.sequence(
                   F.floor(F.col("start") / F.col("_width")),
