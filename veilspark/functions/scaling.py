@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BROADCAST_ROWS = 1_000_000
+ROWS_PER_PARTITION = 4_000_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -27,6 +28,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def row_ids(spark: SparkSession, n: int, name: str = "_rid", start: int = 1) -> DataFrame:
+    """Ids start..start+n-1, in enough partitions to keep each of them small."""
+    parts = max(spark.sparkContext.defaultParallelism, -(-n // ROWS_PER_PARTITION))
+    return spark.range(start, start + n, 1, parts).withColumnRenamed("id", name)
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only if the rows, counted up to the limit, really are few.
 

@@ -92,8 +92,8 @@ def assign_one_to_one(rows: DataFrame, row_id: str, parents: DataFrame, parent_i
     batched = cut(number_batches(rows, row_id, batch_size).select(row_id, "batch", *features))
     if n_parents < batch_size:
         sizes = batched.groupBy("batch").count()
-        crowded = cut(batched.join(F.broadcast(sizes.filter(F.col("count") > n_parents)), "batch", "left_semi"))
-        pending = cut(batched.join(F.broadcast(sizes.filter(F.col("count") <= n_parents)), "batch", "left_semi"))
+        crowded = cut(batched.join(sizes.filter(F.col("count") > n_parents), "batch", "left_semi"))
+        pending = cut(batched.join(sizes.filter(F.col("count") <= n_parents), "batch", "left_semi"))
     else:
         crowded, pending = batched.limit(0), batched
     results = [nearest_parents(crowded, row_id, ordinal, "_pord", features)

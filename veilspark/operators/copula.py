@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.draws import Draws, double_array, normal_pair, normal_quantile, step_index
+from ..functions.scaling import row_ids
 from .encode import Codec, fit_codec
 from .marginals import Family, all_pairs, cell_counts, dense_counts, layout
 
@@ -86,8 +87,8 @@ def sample_copula(spark: SparkSession, copula: Copula, n: int, draws: Draws, sco
     factor = np.linalg.cholesky(copula.correlation * (1 - 1e-9) + 1e-9 * np.eye(k))
     names = list(enumerate(copula.columns))
     # one projection per step, as each step uses the one before several times
-    u = spark.range(1, n + 1).select(F.col("id").alias("_rid"), *[
-        draws.uniform("copula", scope, i, F.col("id")).alias(f"_u{i}") for i in range(k + k % 2)])
+    u = row_ids(spark, n).select("_rid", *[
+        draws.uniform("copula", scope, i, F.col("_rid")).alias(f"_u{i}") for i in range(k + k % 2)])
     z = u.select("_rid", *[normal_pair(F.col(f"_u{i - i % 2}"), F.col(f"_u{i - i % 2 + 1}"))[i % 2].alias(f"_z{i}")
                            for i in range(k)])
     mixed = z.select("_rid", *[

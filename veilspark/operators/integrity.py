@@ -28,8 +28,7 @@ def valid_keys(parent: DataFrame, key: str) -> DataFrame:
 
 def fk_violations(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str) -> DataFrame:
     """Child rows whose key is null or is no non-null parent key."""
-    keys = valid_keys(parent, parent_col)
-    return child.join(keys, F.col(child_col) == F.col("_key"), "left_anti")
+    return split_rows(child, child_col, parent, parent_col)[1]
 
 
 def fk_report(child: DataFrame | None, child_col: str, parent: DataFrame | None, parent_col: str,

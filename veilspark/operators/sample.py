@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.draws import Draws, index_draw, step_index
-from ..functions.scaling import running_total
+from ..functions.scaling import row_ids, running_total
 from .marginals import Family, cdf_rows
 from .model import TableModel
 
 KEY_BUCKETS = 4096
+CELLS_PER_CHUNK = 4096
 
 
 def sample_codes(rows: DataFrame, families: Sequence[Family], cpt: DataFrame, draws: Draws,
@@ -51,7 +52,7 @@ def sample_table(spark: SparkSession, model: TableModel, n: int, draws: Draws,
     """
     if decode not in ("uniform", "midpoint"):
         raise ValueError(f"unknown decode mode {decode!r}")
-    rows = spark.range(1, n + 1).withColumnRenamed("id", "_rid")
+    rows = row_ids(spark, n)
     if model.columns:
         codes = sample_codes(rows, model.families, model.cpt, draws, scope=model.name)
         rows = model.codec.decode(codes, ["_rid"], draws if decode == "uniform" else None,
@@ -87,10 +88,16 @@ def draw_keys(rows: DataFrame, parent: DataFrame, key: str, u: Column, name: str
         F.count(F.lit(1)).alias("n"), F.count_distinct(F.col(key)).alias("k"))
     total = size.select("n").scalar()
     width = size.select(F.greatest(F.floor(F.try_divide("n", "k")), F.lit(1))).scalar()
-    placed = (intervals.withColumn("_width", width)
-              .withColumn("_cell", F.explode(F.sequence(
-                  F.floor(F.col("start") / F.col("_width")),
-                  F.floor((F.col("stop") - 1) / F.col("_width")))))
+    first, last = F.floor(F.col("start") / F.col("_width")), F.floor((F.col("stop") - 1) / F.col("_width"))
+    chunk = F.col("_chunk") * CELLS_PER_CHUNK
+    # a key that owns a third of all positions covers a third of all cells: its chunks of cells are
+    # spread over the tasks before the cells themselves are listed
+    placed = (intervals.withColumn("_width", width).withColumn("_first", first).withColumn("_last", last)
+              .withColumn("_chunk", F.explode(F.sequence(F.floor(F.col("_first") / CELLS_PER_CHUNK),
+                                                         F.floor(F.col("_last") / CELLS_PER_CHUNK))))
+              .repartition("_chunk")
+              .withColumn("_cell", F.explode(F.sequence(F.greatest("_first", chunk),
+                                                        F.least("_last", chunk + (CELLS_PER_CHUNK - 1)))))
               .select(F.col("key").alias(name), "_cell", "start", "stop"))
     asked = (rows.withColumn("_n", total).withColumn("_w", width)
              .withColumn("_pos", index_draw(u, F.col("_n")))
@@ -127,7 +134,7 @@ def bootstrap(df: DataFrame, row_id: str, draws: Draws, n: int | Column | None =
     intervals = key_intervals(df, row_id)
     size = df.agg(F.count(F.lit(1)).alias("n"))
     total = n if n is not None else size.first()["n"]
-    slots = spark.range(total).withColumn("_n", size.scalar())
+    slots = row_ids(spark, total, "id", 0).withColumn("_n", size.scalar())
     drawn = (slots.select(index_draw(draws.uniform("bootstrap", F.col("id")), F.col("_n")).alias("start"), "id")
              .join(intervals, "start").select(F.col("key").alias(row_id), F.col("id").alias("_rid")))
     return drawn.join(df, row_id)

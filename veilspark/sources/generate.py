@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import (Draws, choice_draw, index_draw, integer_draw, real_draw,
                                weighted_choice_draw)
+from ..functions.scaling import row_ids
 from ..schema import CATEGORICAL, NUMERICAL, ForeignKey, RelationalSchema, Table
 
 # expression of (row key 1..n, draw function for this column)
@@ -122,7 +123,7 @@ def generate_table(spark: SparkSession, spec: Spec, name: str, draws: Draws,
     """One table of a spec; ``tables`` is only needed for columns priced by a parent row."""
     table = spec[name]
     i = F.col("_id")
-    df = spark.range(1, table.rows + 1).withColumnRenamed("id", "_id")
+    df = row_ids(spark, table.rows, "_id")
     exprs = []
     for column, s in table.columns.items():
         def u(*extra, _column=column):
