@@ -16,10 +16,10 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from veilspark.checks import QUERIES  # noqa: E402
 
-HEADLINE = ["table_sizes_star", "fk_report_every", "repair_random", "repair_nearest", "kway_error_3", "kway_errors_shared",
-            "cross_means", "tv_numeric_columns", "tv_categorical_columns", "encode_table", "marginals_2way",
-            "mutual_information", "cpt_conditional", "fit_table_model", "sample_decoded", "fk_condition_repeated",
-            "stratified_split_rows", "copula_correlation", "copula_sample", "gen_star_fact", "chain_join_all",
+HEADLINE = ["table_sizes", "fk_report_all", "repair_random", "repair_nearest", "kway_error_3", "kway_errors_shared",
+            "cross_mean", "tv_numeric", "tv_categorical", "encode_table", "marginals_2way",
+            "mutual_information", "cpt_conditional", "fit_table_model", "sample_table", "fk_condition_repeated",
+            "stratified_split", "copula_correlation", "copula_sample", "gen_star_fact", "chain_join",
             "budget_analytical", "workload_cross", "synth_full"]
 
 

@@ -213,6 +213,15 @@ def test_null_parent_keys_are_ignored_and_hot_keys_are_repaired(spark):
     assert repair_foreign_key(child, "fk", parent.filter("false"), "p", "id", D).count() == 900
 
 
+def test_keys_of_different_types(spark):
+    parent = spark.createDataFrame([(i,) for i in range(5)], "p bigint")
+    child = spark.createDataFrame([("1",), ("4",), ("__OTHER__",), (None,)], "fk string").withColumn("id", F.monotonically_increasing_id())
+    assert fk_report(child, "fk", parent, "p", "x").first()["violations"] == 2
+    fixed = repair_foreign_key(child, "fk", parent, "p", "id", D)
+    assert fixed.count() == 4 and fk_report(fixed, "fk", parent, "p", "x").first()["violations"] == 0
+    assert kway_error(parent.select(F.col("p").alias("fk")), child, ["fk"]).first()["cells"] == 6
+
+
 @pytest.mark.parametrize("shape", ["spread", "copies", "outlier", "line"])
 @pytest.mark.parametrize("k", [1, 4])
 def test_nearest_is_exact(spark, shape, k):

@@ -19,7 +19,7 @@ def num(c):
 
 @check(" UNION ALL ".join(f"""SELECT '{c}' AS column_name, {q6(f'min({num(c)}) - 1e-9::DOUBLE')} AS lo,
 {q6(f'max({num(c)}) + 1e-9::DOUBLE')} AS hi FROM lineitem""" for c in NUMERIC))
-def numeric_bounds_all(spark, sf_dir):
+def q_numeric_bounds(spark, sf_dir):
     return numeric_bounds(table(spark, sf_dir, "lineitem"), NUMERIC).select("column_name", r6("lo").alias("lo"), r6("hi").alias("hi"))
 
 
@@ -47,7 +47,7 @@ def dictionary_sql(columns, source):
 
 
 @check(dictionary_sql(["o_orderpriority", "o_orderstatus"], "orders"))
-def category_dictionary(spark, sf_dir):
+def q_category_codes(spark, sf_dir):
     counts = category_counts(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"])
     return category_codes(counts, 32).drop("_many")
 

@@ -59,7 +59,7 @@ def kway_errors_shared(spark, sf_dir):
 
 @check(f"""WITH {ORDERS_COPY} SELECT o_custkey, o_orderpriority FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority IS NOT NULL
 UNION SELECT o_custkey, o_orderpriority FROM orders_copy WHERE o_custkey IS NOT NULL AND o_orderpriority IS NOT NULL""")
-def key_union_pairs(spark, sf_dir):
+def q_key_union(spark, sf_dir):
     return key_union(table(spark, sf_dir, "orders"), orders_copy(spark, sf_dir), ["o_custkey", "o_orderpriority"])
 
 
@@ -68,7 +68,7 @@ SELECT 'orders' AS side, count(*) AS value FROM orders JOIN customer ON o_custke
 UNION ALL SELECT 'orders_copy', count(*) FROM orders_copy JOIN customer ON o_custkey = c_custkey
 UNION ALL SELECT 'lineitem_copy', count(*) FROM lineitem_copy JOIN part ON l_partkey = p_partkey
 UNION ALL SELECT 'many_to_many', count(*) FROM orders_copy JOIN events ON o_custkey = user_id""")
-def cross_counts(spark, sf_dir):
+def q_cross_count(spark, sf_dir):
     customer, copy = table(spark, sf_dir, "customer"), orders_copy(spark, sf_dir)
     cases = {"orders": (table(spark, sf_dir, "orders"), "o_custkey", customer, "c_custkey"),
              "orders_copy": (copy, "o_custkey", customer, "c_custkey"),
@@ -83,7 +83,7 @@ UNION ALL SELECT 'retailprice', {q6('avg(p_retailprice)')} FROM lineitem_copy JO
 UNION ALL SELECT 'text', NULL FROM (SELECT 1)
 UNION ALL SELECT 'events', {q6('avg(value)')} FROM orders_copy JOIN events ON o_custkey = user_id
 UNION ALL SELECT 'empty', 0.0::DOUBLE""")
-def cross_means(spark, sf_dir):
+def q_cross_mean(spark, sf_dir):
     customer, copy = table(spark, sf_dir, "customer"), orders_copy(spark, sf_dir)
     cases = {"acctbal": (copy, "o_custkey", customer, "c_custkey", "c_acctbal"),
              "retailprice": (lineitem_copy(spark, sf_dir), "l_partkey", table(spark, sf_dir, "part"), "p_partkey", "p_retailprice"),
@@ -97,7 +97,7 @@ def cross_means(spark, sf_dir):
 s AS (SELECT o_orderstatus, sum(o_totalprice) AS v FROM orders_copy GROUP BY 1)
 SELECT o_orderstatus, {q6('abs(r.v - s.v) / CASE WHEN abs(r.v) > 1e-9 THEN abs(r.v) ELSE 1 END')} AS error,
   {q6('s.v / s.v')} AS from_zero FROM r JOIN s USING (o_orderstatus)""")
-def relative_errors(spark, sf_dir):
+def q_relative_error(spark, sf_dir):
     def sums(df, name):
         return df.groupBy("o_orderstatus").agg(F.sum("o_totalprice").alias(name))
     both = sums(table(spark, sf_dir, "orders"), "r").join(sums(orders_copy(spark, sf_dir), "s"), "o_orderstatus")
@@ -129,7 +129,7 @@ LINE_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipd
 @check(f"WITH {ORDERS_COPY}, {LINEITEM_COPY} " + " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, {q6('tv')} AS tv FROM ({tv_num_sql('lineitem', 'lineitem_copy', c)})" for c in LINE_NUMERIC)
     + f" UNION ALL SELECT 'acctbal', {q6('tv')} FROM ({tv_num_sql('customer', 'supplier', 'c_acctbal', 's_acctbal')})")
-def tv_numeric_columns(spark, sf_dir):
+def q_tv_numeric(spark, sf_dir):
     balances = [table(spark, sf_dir, t).select(F.col(c).alias("acctbal")) for t, c in (("customer", "c_acctbal"), ("supplier", "s_acctbal"))]
     both = tv_numeric(table(spark, sf_dir, "lineitem"), lineitem_copy(spark, sf_dir), LINE_NUMERIC)
     return both.unionByName(tv_numeric(*balances, ["acctbal"])).withColumn("tv", r6("tv"))
@@ -140,7 +140,7 @@ ORDER_TEXT = ["o_custkey", "o_orderstatus", "o_orderpriority"]
 
 @check(f"WITH {ORDERS_COPY} " + " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, {q6('tv')} AS tv FROM ({tv_cat_sql('orders', 'orders_copy', c)})" for c in ORDER_TEXT))
-def tv_categorical_columns(spark, sf_dir):
+def q_tv_categorical(spark, sf_dir):
     return tv_categorical(table(spark, sf_dir, "orders"), orders_copy(spark, sf_dir), ORDER_TEXT).withColumn("tv", r6("tv"))
 
 
@@ -153,7 +153,7 @@ TV_CUSTOMER = " UNION ALL ".join([tv_cat_sql("customer", "customer", c) for c in
 @check(f"""WITH {ORDERS_COPY}, per AS (SELECT 'orders' AS table_name, avg(tv) AS tv FROM ({TV_ORDERS})
   UNION ALL SELECT 'customer', avg(tv) FROM ({TV_CUSTOMER}))
 SELECT table_name, {q6('tv')} AS tv FROM per UNION ALL SELECT '*', {q6('avg(tv)')} FROM per""")
-def tv_table_averages(spark, sf_dir):
+def q_tv_table_avg(spark, sf_dir):
     schema = star_schema("orders", "customer")
     real = star_tables(spark, sf_dir, "orders", "customer")
     syn = real | {"orders": orders_copy(spark, sf_dir)}

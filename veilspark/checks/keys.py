@@ -17,7 +17,7 @@ VALID_CUSTOMER = "o_custkey IN (SELECT c_custkey FROM customer)"
 
 
 @check(f"WITH {ORDERS_COPY} SELECT o_orderkey, o_custkey::VARCHAR AS o_custkey FROM orders_copy WHERE o_custkey IS NULL OR NOT {VALID_CUSTOMER}")
-def fk_violating_rows(spark, sf_dir):
+def q_fk_violations(spark, sf_dir):
     return fk_violations(orders_copy(spark, sf_dir), "o_custkey", table(spark, sf_dir, "customer"), "c_custkey").select(
         "o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"))
 
@@ -34,7 +34,7 @@ def with_rate(body):
 
 @check(f"""WITH {ORDERS_COPY} {with_rate(report_sql('orders', 'orders_copy', 'o_custkey', 'customer', 'c_custkey')
   + " UNION ALL SELECT 'no parent', 0, 0 UNION ALL SELECT 'no column', count(*), count(*) FROM orders_copy")}""")
-def fk_report_one(spark, sf_dir):
+def q_fk_report(spark, sf_dir):
     orders, customer = orders_copy(spark, sf_dir), table(spark, sf_dir, "customer")
     return union_all([fk_report(orders, "o_custkey", customer, "c_custkey", "orders"),
                       fk_report(orders, "o_custkey", None, "c_custkey", "no parent"),
@@ -54,7 +54,7 @@ ALL_REPORTS = " UNION ALL ".join(
 
 
 @check(f"WITH {ORDERS_COPY}, {LINEITEM_COPY} {with_rate(ALL_REPORTS)}")
-def fk_report_every(spark, sf_dir):
+def q_fk_report_all(spark, sf_dir):
     return fk_report_all(star_schema(), disturbed(spark, sf_dir)).withColumn("violation_rate", r6("violation_rate"))
 
 
@@ -67,7 +67,7 @@ def fk_overall(spark, sf_dir):
 @check(f"""WITH {ORDERS_COPY}, {LINEITEM_COPY}, r AS ({ALL_REPORTS})
 SELECT fk AS metric, {q6('1 - violations / total_rows')} AS value FROM r
 UNION ALL SELECT 'overall', {q6('sum(total_rows - violations) / sum(total_rows)')} FROM r""")
-def fk_metric_rows(spark, sf_dir):
+def q_fk_metrics(spark, sf_dir):
     return fk_metrics(star_schema(), disturbed(spark, sf_dir)).withColumn("value", r6("value"))
 
 
@@ -122,7 +122,7 @@ def repair_batches(spark, sf_dir):
 
 @check(f"""SELECT l_orderkey, l_linenumber, l_partkey, {q6('sqrt(power(l_quantity - p_size, 2) + power(l_extendedprice - p_retailprice, 2))')} AS distance
 FROM lineitem JOIN part ON l_partkey = p_partkey""")
-def pairwise_distances(spark, sf_dir):
+def q_pairwise_distance(spark, sf_dir):
     pairs = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return pairwise_distance(pairs, ["l_quantity", "l_extendedprice"], ["p_size", "p_retailprice"]).select(
         "l_orderkey", "l_linenumber", "l_partkey", r6("distance").alias("distance"))

@@ -25,13 +25,13 @@ def scan_all_tables(spark, sf_dir):
 
 
 @check("SELECT l_quantity, l_orderkey, l_returnflag FROM lineitem")
-def align_columns_declared(spark, sf_dir):
+def q_align_columns(spark, sf_dir):
     declared = Table("lineitem", ("l_quantity", "not_there", "l_orderkey", "l_returnflag"), {})
     return align_columns(table(spark, sf_dir, "lineitem"), declared.attributes)
 
 
 @check(sizes_sql(STAR_TABLES))
-def table_sizes_star(spark, sf_dir):
+def q_table_sizes(spark, sf_dir):
     return table_sizes(star_tables(spark, sf_dir))
 
 
@@ -50,7 +50,7 @@ def sink_roundtrip(spark, sf_dir):
 
 @check("""SELECT o_orderkey AS "order.key", o_orderstatus AS "order.detail.status",
                  o_orderpriority AS "order.detail.priority", o_totalprice AS price FROM orders""")
-def flatten_nested(spark, sf_dir):
+def q_flatten_struct(spark, sf_dir):
     nested = table(spark, sf_dir, "orders").select(
         F.struct(F.col("o_orderkey").alias("key"),
                  F.struct(F.col("o_orderstatus").alias("status"),

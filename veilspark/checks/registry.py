@@ -13,11 +13,13 @@ ORACLES: dict[str, str] = {}
 
 
 def check(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with its SQL twin if there is one."""
+    """Register a query under its function's name (without a leading ``q_``, which keeps it apart
+    from the operator of that name), with its SQL twin if there is one."""
     def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
+        name = fn.__name__.removeprefix("q_")
+        QUERIES[name] = fn
         if sql:
-            ORACLES[fn.__name__] = sql
+            ORACLES[name] = sql
         return fn
     return add
 

@@ -59,7 +59,7 @@ d AS (SELECT (SELECT list(v ORDER BY v) FROM (SELECT DISTINCT o_orderpriority AS
 SELECT rid, ps[o_orderpriority + 1] AS o_orderpriority, ss[o_orderstatus + 1] AS o_orderstatus,
   {q6('o_totalprice_lo + (o_totalprice + 0.5::DOUBLE) * ((o_totalprice_hi - o_totalprice_lo) / 8)')} AS o_totalprice
 FROM s3, b, d""")
-def sample_decoded(spark, sf_dir):
+def q_sample_table(spark, sf_dir):
     model = order_model(spark, sf_dir)
     rows = sample_table(spark, model, model.n_rows, DRAWS, "midpoint")
     return rows.select(F.col("_rid").alias("rid"), *ORDER_COLUMNS[:2], r6("o_totalprice").alias("o_totalprice"))
@@ -114,7 +114,7 @@ def bootstrap_rows(spark, sf_dir):
 
 
 @check(f"""SELECT o_orderkey, o_totalprice FROM orders ORDER BY {u_sql("'cap'", "o_orderkey")}, o_orderkey LIMIT 5000""")
-def sample_at_most(spark, sf_dir):
+def q_cap_rows(spark, sf_dir):
     """The sampling operator itself: at most 5,000 rows without replacement."""
     return cap_rows(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 5000, DRAWS, "o_orderkey")
 
@@ -122,6 +122,6 @@ def sample_at_most(spark, sf_dir):
 @check(f"""SELECT o_orderkey, o_orderstatus, n > 1 AND r <= round(n * 0.3::DOUBLE) AS is_test FROM (
   SELECT o_orderkey, o_orderstatus, count(*) OVER (PARTITION BY o_orderstatus) AS n,
     row_number() OVER (PARTITION BY o_orderstatus ORDER BY {u_sql("'split'", "o_orderkey")}, o_orderkey) AS r FROM orders)""")
-def stratified_split_rows(spark, sf_dir):
+def q_stratified_split(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     return stratified_split(orders, "o_orderstatus", "o_orderkey", DRAWS, 0.3)

@@ -145,6 +145,8 @@ class ColumnCodec:
                 return F.lit(None).cast(self.dtype)
             safe = F.least(F.greatest(code, F.lit(0)), F.lit(len(labels) - 1))
             value = F.element_at(F.array(*[F.lit(v) for v in labels]), safe + 1)
+            if not self.capped:  # the other-category only exists as text
+                value = value.cast(self.dtype)
         if self.null_code:
             value = F.when(code < self.size - 1, value)
         return value

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.keys import comparable
 from ..schema import NUMERICAL, RelationalSchema, Table
 from ..sources.io import Tables, union_all
 from .encode import as_number
@@ -35,8 +36,9 @@ def key_union(real: DataFrame, syn: DataFrame, keys: Sequence[str]) -> DataFrame
 def kway_error(real: DataFrame, syn: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row (cells, error): mean absolute difference of the frequencies of all combinations
     that occur on either side.  Null keys are dropped; the error is null if real has no row."""
-    r = real.select(*columns).dropna()
-    s = syn.select(*columns).dropna()
+    sides = [comparable(real, c, syn, c) for c in columns]
+    r = real.select(*[x.alias(c) for c, (x, _) in zip(columns, sides)]).dropna()
+    s = syn.select(*[y.alias(c) for c, (_, y) in zip(columns, sides)]).dropna()
     both = _both_sides(r, s, columns)
     totals = both.agg(F.sum("r").alias("rt"), F.greatest(F.sum("s"), F.lit(1)).alias("st"))
     gap = F.abs(F.try_divide("r", totals.select("rt").scalar()) - F.col("s") / totals.select("st").scalar())
@@ -72,8 +74,9 @@ def _any_null(columns: Sequence[str]) -> Column:
 def cross_count(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str) -> DataFrame:
     """Rows of the join of child and parent, without building it: both sides are counted per key
     and the products are summed, so a hot key is one row on each side."""
-    c = child.groupBy(F.col(child_col).alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
-    p = parent.groupBy(F.col(parent_col).alias("_k")).agg(F.count(F.lit(1)).alias("_p"))
+    asked, given = comparable(child, child_col, parent, parent_col)
+    c = child.groupBy(asked.alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
+    p = parent.groupBy(given.alias("_k")).agg(F.count(F.lit(1)).alias("_p"))
     return c.join(p, "_k").agg(F.coalesce(F.sum(F.col("_c") * F.col("_p")), F.lit(0)).alias("value"))
 
 
@@ -85,8 +88,9 @@ def cross_mean(child: DataFrame, child_col: str, parent: DataFrame, parent_col:
     is_text = isinstance(parent.schema[column].dataType, T.StringType)
     x = F.col(column).try_cast("double") if is_text else as_number(parent, column)
     x = F.when(~F.isnan(x), x)
-    c = child.groupBy(F.col(child_col).alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
-    p = parent.select(F.col(parent_col).alias("_k"), x.alias("_x")).groupBy("_k").agg(
+    asked, given = comparable(child, child_col, parent, parent_col)
+    c = child.groupBy(asked.alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
+    p = parent.select(given.alias("_k"), x.alias("_x")).groupBy("_k").agg(
         F.count(F.lit(1)).alias("_p"), F.count("_x").alias("_n"), F.sum("_x").alias("_s"))
     joined = c.join(p, "_k").agg(
         F.sum(F.col("_c") * F.col("_p")).alias("rows"), F.sum(F.col("_c") * F.col("_n")).alias("n"),

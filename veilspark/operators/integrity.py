@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.draws import Draws
+from ..functions.keys import comparable
 from ..functions.scaling import BROADCAST_ROWS, cut, small_side
 from ..schema import ForeignKey, RelationalSchema
 from ..sources.io import union_all
@@ -22,8 +23,8 @@ from .sample import draw_keys
 REPORT_SCHEMA = "fk string, total_rows bigint, violations bigint, violation_rate double"
 
 
-def valid_keys(parent: DataFrame, key: str) -> DataFrame:
-    return parent.select(F.col(key).alias("_key")).filter(F.col("_key").isNotNull()).distinct()
+def valid_keys(parent: DataFrame, key: Column) -> DataFrame:
+    return parent.select(key.alias("_key")).filter(F.col("_key").isNotNull()).distinct()
 
 
 def fk_violations(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str) -> DataFrame:
@@ -43,8 +44,9 @@ def fk_report(child: DataFrame | None, child_col: str, parent: DataFrame | None,
         return (child.agg(F.count(F.lit(1)).alias("total_rows"))
                 .select(F.lit(label).alias("fk"), "total_rows", F.col("total_rows").alias("violations"),
                         F.lit(1.0).alias("violation_rate")))
-    per_key = child.groupBy(F.col(child_col).alias("_child")).agg(F.count(F.lit(1)).alias("_n"))
-    matched = per_key.join(valid_keys(parent, parent_col), F.col("_child") == F.col("_key"), "left")
+    asked, given = comparable(child, child_col, parent, parent_col)
+    per_key = child.groupBy(asked.alias("_child")).agg(F.count(F.lit(1)).alias("_n"))
+    matched = per_key.join(valid_keys(parent, given), F.col("_child") == F.col("_key"), "left")
     return (matched.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total_rows"),
                         F.coalesce(F.sum(F.when(F.col("_key").isNull(), F.col("_n"))), F.lit(0)).alias("violations"))
             .select(F.lit(label).alias("fk"), "total_rows", "violations", rate.alias("violation_rate")))
@@ -84,7 +86,8 @@ def fk_metrics(schema: RelationalSchema, tables: Mapping[str, DataFrame]) -> Dat
 def bad_keys(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str) -> DataFrame:
     """Distinct non-null child keys without a parent."""
     asked = child.select(F.col(child_col).alias("_bad")).filter(F.col("_bad").isNotNull()).distinct()
-    return asked.join(valid_keys(parent, parent_col), F.col("_bad") == F.col("_key"), "left_anti")
+    bad, given = comparable(asked, "_bad", parent, parent_col)
+    return asked.join(valid_keys(parent, given), bad == F.col("_key"), "left_anti")
 
 
 def split_rows(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str) -> tuple[DataFrame, DataFrame]:
