@@ -62,14 +62,18 @@ def sample_table(spark: SparkSession, model: TableModel, n: int, draws: Draws,
     return rows
 
 
-def key_intervals(parent: DataFrame, key: str, buckets: int = KEY_BUCKETS) -> DataFrame:
-    """(key, start, stop): each distinct non-null key owns as many positions as it has rows.
+def key_weights(parent: DataFrame, key: str) -> DataFrame:
+    """(key, _w): distinct non-null keys and their rows; a key with a third of all rows is one row
+    from here on."""
+    return (parent.select(F.col(key).alias("key")).filter(F.col("key").isNotNull())
+            .groupBy("key").agg(F.count(F.lit(1)).alias("_w")))
 
-    Repeated keys are counted before anything is ordered, so a key with a third of all rows is
-    one row here.  The order is by a hash bucket and then by key, numbered as a two-level prefix sum.
+
+def key_intervals(weights: DataFrame, buckets: int = KEY_BUCKETS) -> DataFrame:
+    """(key, start, stop): each key owns as many positions as it has rows.
+
+    The order is by a hash bucket and then by key, numbered as a two-level prefix sum.
     """
-    weights = (parent.select(F.col(key).alias("key")).filter(F.col("key").isNotNull())
-               .groupBy("key").agg(F.count(F.lit(1)).alias("_w")))
     bucket = F.conv(F.substring(F.md5(F.col("key").cast("string")), 1, 8), 16, 10).cast("bigint") % buckets
     return (running_total(weights, "_w", bucket, ["key"], "start")
             .select("key", "start", (F.col("start") + F.col("_w")).alias("stop")))
@@ -83,23 +87,22 @@ def draw_keys(rows: DataFrame, parent: DataFrame, key: str, u: Column, name: str
     grid as wide as the average repetition, so about two candidates meet each drawn row and the
     drawn rows spread evenly over the grid whatever the key distribution.
     """
-    intervals = key_intervals(parent, key)
-    size = parent.filter(F.col(key).isNotNull()).agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct(F.col(key)).alias("k"))
-    total = size.select("n").scalar()
-    width = size.select(F.greatest(F.floor(F.try_divide("n", "k")), F.lit(1))).scalar()
+    weights = key_weights(parent, key)
+    intervals = key_intervals(weights)
+    size = weights.agg(F.sum("_w").alias("n"), F.count(F.lit(1)).alias("k")).select(
+        F.struct("n", F.greatest(F.floor(F.try_divide("n", "k")), F.lit(1)).alias("w"))).scalar()
     first, last = F.floor(F.col("start") / F.col("_width")), F.floor((F.col("stop") - 1) / F.col("_width"))
     chunk = F.col("_chunk") * CELLS_PER_CHUNK
     # a key that owns a third of all positions covers a third of all cells: its chunks of cells are
     # spread over the tasks before the cells themselves are listed
-    placed = (intervals.withColumn("_width", width).withColumn("_first", first).withColumn("_last", last)
+    placed = (intervals.withColumn("_width", size["w"]).withColumn("_first", first).withColumn("_last", last)
               .withColumn("_chunk", F.explode(F.sequence(F.floor(F.col("_first") / CELLS_PER_CHUNK),
                                                          F.floor(F.col("_last") / CELLS_PER_CHUNK))))
               .repartition("_chunk")
               .withColumn("_cell", F.explode(F.sequence(F.greatest("_first", chunk),
                                                         F.least("_last", chunk + (CELLS_PER_CHUNK - 1)))))
               .select(F.col("key").alias(name), "_cell", "start", "stop"))
-    asked = (rows.withColumn("_n", total).withColumn("_w", width)
+    asked = (rows.withColumn("_n", size["n"]).withColumn("_w", size["w"])
              .withColumn("_pos", index_draw(u, F.col("_n")))
              .withColumn("_cell", F.floor(F.col("_pos") / F.col("_w"))))
     hit = ((asked["_cell"] == placed["_cell"]) & (asked["_pos"] >= placed["start"])
@@ -131,7 +134,7 @@ def bootstrap(df: DataFrame, row_id: str, draws: Draws, n: int | Column | None =
     Drawn positions are counted first, and a row is repeated as often as its position was drawn.
     """
     spark = df.sparkSession
-    intervals = key_intervals(df, row_id)
+    intervals = key_intervals(key_weights(df, row_id))
     size = df.agg(F.count(F.lit(1)).alias("n"))
     total = n if n is not None else size.first()["n"]
     slots = row_ids(spark, total, "id", 0).withColumn("_n", size.scalar())
