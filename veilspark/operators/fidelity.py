@@ -42,7 +42,7 @@ def kway_error(real: DataFrame, syn: DataFrame, columns: Sequence[str]) -> DataF
     both = _both_sides(r, s, columns)
     totals = both.agg(F.sum("r").alias("rt"), F.greatest(F.sum("s"), F.lit(1)).alias("st"))
     gap = F.abs(F.try_divide("r", totals.select("rt").scalar()) - F.col("s") / totals.select("st").scalar())
-    return both.agg(F.count(F.lit(1)).alias("cells"), F.avg(gap).alias("error"))
+    return both.select(gap.alias("_gap")).agg(F.count(F.lit(1)).alias("cells"), F.avg("_gap").alias("error"))
 
 
 def kway_errors(real: DataFrame, syn: DataFrame, column_sets: Sequence[Sequence[str]]) -> DataFrame:
