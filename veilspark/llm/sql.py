@@ -39,3 +39,33 @@ f AS (SELECT c.*, coalesce(s.n, 0)::BIGINT AS n_repeat_words FROM c LEFT JOIN s
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND {" AND ".join(tests)} AS kept FROM b"""
+
+
+def entropy_balance() -> str:
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, source, len({SPACE_WORDS})::BIGINT AS size,
+                  md5(coalesce(doc_id::VARCHAR, '')) AS o1, md5(coalesce(text, '')) AS o2 FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS tokens FROM d GROUP BY source),
+w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER] AS w,
+             2.0::DOUBLE * tokens AS top FROM s),
+l AS (SELECT *, (1.5::DOUBLE * sum(tokens) OVER () - coalesce(sum(top) OVER b, 0)) / sum(w) OVER a AS level, top / w AS need FROM w
+      WINDOW b AS (ORDER BY top / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+             a AS (ORDER BY top / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+t AS (SELECT source, tokens, least(top, coalesce(max(CASE WHEN level <= need THEN level END) OVER () * w, top)) AS target FROM l),
+k AS (SELECT source, CASE WHEN size < 1024 THEN size ELSE length(bin(size)) * 128 + (size >> (length(bin(size)) - 7)) END AS class,
+             count(*) AS n, sum(size)::BIGINT AS tokens FROM d GROUP BY ALL),
+q AS (SELECT k.*, row_number() OVER (PARTITION BY k.source ORDER BY class DESC) AS step, t.target, t.tokens AS source_size
+      FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
+f AS (SELECT source, 0::BIGINT AS step, NULL::BIGINT AS class, 0::BIGINT AS n, 0::BIGINT AS c, target::DOUBLE AS want, tokens::BIGINT AS lft FROM t
+      UNION ALL
+      SELECT source, step, class, n, c, want - c * (tokens::DOUBLE / n), (lft - tokens)::BIGINT FROM (
+        SELECT q.source, q.step, q.class, q.n, q.tokens, f.want, f.lft,
+               greatest(0, least(CASE WHEN f.lft > 0 THEN round(q.n * f.want / f.lft) ELSE 0 END, 2 * q.n))::BIGINT AS c
+        FROM f JOIN q ON f.source IS NOT DISTINCT FROM q.source AND q.step = f.step + 1)),
+o AS (SELECT d.*, t.tokens AS source_size, t.target, f.n, f.c,
+             row_number() OVER (PARTITION BY d.source, f.class ORDER BY o1, o2) - 1 AS rnk
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+             JOIN f ON d.source IS NOT DISTINCT FROM f.source
+                   AND f.class = CASE WHEN size < 1024 THEN size ELSE length(bin(size)) * 128 + (size >> (length(bin(size)) - 7)) END)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target::DOUBLE AS target,
+       ((c // n + CASE WHEN rnk < c % n THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM o"""
