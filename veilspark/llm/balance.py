@@ -120,10 +120,13 @@ def shares(cells: DataFrame, cap: float) -> DataFrame:
 
 
 def copies(docs: DataFrame, rates: DataFrame, order: Sequence[Column], cap: float = 2.0) -> DataFrame:
-    """Add ``copies`` to documents (g, size): rates rounded within size classes, ranks by ``order``."""
+    """Add ``copies`` and the columns of rates to documents (g, size): rounded by class, ranked by ``order``.
+
+    What a group needs to know joins its size classes first, so no join has the group alone as its key.
+    """
     keyed = docs.withColumn("_order", F.struct(*order)).withColumn("class", size_class(F.col("size")))
     cells = cut(keyed.groupBy("g", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens")))
-    shared = cut(shares(cells.join(rates.select("g", "rate"), "g"), cap).join(cells.select("g", "class", "n"), ["g", "class"]))
+    shared = cut(shares(cells.join(rates.select("g", "rate"), "g"), cap).join(cells.select("g", "class", "n"), ["g", "class"]).join(rates, "g"))
     placed = (keyed.join(shared, ["g", "class"])
               .withColumn("_piece", F.pmod(F.xxhash64("_order"), F.ceil(F.col("n") / PIECE).cast("long"))))
     before = Window.partitionBy("g", "class").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -146,7 +149,7 @@ def mix(docs: DataFrame, share: float = 1.5, ceiling: float = 2.0, weights: Sequ
     wanted = cut(targets(groups, share, ceiling, weights))
     rates = balance(groups, [("g", wanted.select("g", "target"))], ceiling)
     order = [F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.col("_digest")]
-    counted = copies(sized, rates, order, ceiling)
-    return (counted.join(wanted.join(rates.select("g", "rate"), "g").select("g", F.col("tokens").alias("source_size"), "target", "rate"), "g")
+    rates = rates.join(wanted.select("g", "target"), "g").withColumnRenamed("tokens", "source_size")
+    return (copies(sized, rates, order, ceiling)
             .withColumn("taken", F.col("copies") * F.col("size"))
             .select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken", "_digest"))
