@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 """Words of letters, digits and non-ASCII characters, for texts whose A-Z are not lower-cased yet."""
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:

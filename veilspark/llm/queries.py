@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balance, quality_rules, sql
+from . import balance, license_scan, quality_rules, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,10 +22,16 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op10_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = balance.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op10_entropy_balance)}
-ORACLES: dict[str, str] = {"op1_quality_rules": sql.quality_rules(), "op10_entropy_balance": sql.entropy_balance()}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_quality_rules, op9_license_scan, op10_entropy_balance)}
+ORACLES: dict[str, str] = {"op1_quality_rules": sql.quality_rules(), "op9_license_scan": sql.license_scan(),
+                           "op10_entropy_balance": sql.entropy_balance()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import license_scan as licenses
 from . import quality_rules as rules
 
 SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -69,3 +70,29 @@ o AS (SELECT d.*, t.tokens AS source_size, t.target, f.n, f.c,
                    AND f.class = CASE WHEN size < 1024 THEN size ELSE length(bin(size)) * 128 + (size >> (length(bin(size)) - 7)) END)
 SELECT doc_id, size, source_size::BIGINT AS source_size, target::DOUBLE AS target,
        ((c // n + CASE WHEN rnk < c % n THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM o"""
+
+
+def license_scan() -> str:
+    values = ", ".join(f"({quoted([anchor])}, {quoted([f'^(?:{pattern})( |$)'])}, {quoted([label])}, {priority}, {order})"
+                       for anchor, pattern, label, priority, order in licenses.RULES)
+    base = ", ".join(f"({quoted([phrase])}, {len(phrase.split())}, {quoted([label])})" for phrase, label in licenses.BASE)
+    anchors = quoted(sorted({r[0] for r in licenses.RULES} | {phrase.split()[0] for phrase, _ in licenses.BASE}))
+    return rf"""
+WITH rules(anchor, re, label, priority, ord) AS (VALUES {values}),
+base(phrase, n, label) AS (VALUES {base}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+p AS (SELECT rid, ws, unnest(range(0, len(ws))) AS i FROM d),
+x AS (SELECT rid, i, ws[i + 1] AS w, array_to_string(ws[i + 1:i + {licenses.REACH}], ' ') AS ctx FROM p WHERE ws[i + 1] IN ({anchors})),
+h AS (SELECT rid, i, i + len(string_split(trim(regexp_extract(ctx, re, 0)), ' ')) AS stop, label, priority, ord
+      FROM x JOIN rules ON w = anchor WHERE regexp_extract(ctx, re, 0) <> ''),
+k AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h AS g WHERE g.rid = h.rid AND g.i <= h.i AND g.stop >= h.stop AND g.ord <> h.ord
+      AND (g.priority > h.priority OR (g.priority = h.priority AND ((g.stop - g.i > h.stop - h.i)
+           OR (g.stop - g.i = h.stop - h.i AND g.ord < h.ord)))))),
+b AS (SELECT rid, i, label FROM x JOIN base ON starts_with(ctx || ' ', phrase || ' ')),
+bs AS (SELECT rid, count(*) AS n, min(i) AS lo, max(i) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS ls FROM b GROUP BY rid),
+al AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS ls FROM (SELECT rid, label FROM b UNION ALL SELECT rid, label FROM k) GROUP BY rid),
+ks AS (SELECT rid, max(priority) AS best FROM k GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(bs.n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
+       coalesce(bs.ls, '') AS base_labels, coalesce(al.ls, '') AS labels, coalesce(best / 10, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN bs USING (rid) LEFT JOIN al USING (rid) LEFT JOIN ks USING (rid)"""
