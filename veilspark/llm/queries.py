@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balance, license_scan, quality_rules, sql
+from . import balance, decontaminate, license_scan, quality_rules, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("items")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("detections")
 
@@ -32,6 +37,7 @@ def op10_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_quality_rules, op9_license_scan, op10_entropy_balance)}
-ORACLES: dict[str, str] = {"op1_quality_rules": sql.quality_rules(), "op9_license_scan": sql.license_scan(),
+    op1_quality_rules, op2_decontamination, op9_license_scan, op10_entropy_balance)}
+ORACLES: dict[str, str] = {"op1_quality_rules": sql.quality_rules(), "op2_decontamination": sql.decontamination(),
+                           "op9_license_scan": sql.license_scan(),
                            "op10_entropy_balance": sql.entropy_balance()}

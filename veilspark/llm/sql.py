@@ -42,6 +42,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND {" AND ".join(tests)} AS kept FROM b"""
 
 
+ALNUM_WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+               r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+
+def decontamination() -> str:
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {ALNUM_WORDS} AS ws FROM documents),
+t AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {ALNUM_WORDS} AS ws FROM benchmark),
+v AS (SELECT item, ws, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS j FROM t WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item, n, array_to_string(ws[j:j + n - 1], ' ') AS s FROM v),
+p AS (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(ws) >= n),
+h AS (SELECT rid, i, p.n, item FROM p JOIN win ON p.n = win.n AND array_to_string(ws[i:i + p.n - 1], ' ') = s),
+w AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS pos FROM h) GROUP BY rid),
+m AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM h GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN w USING (rid) LEFT JOIN m USING (rid)"""
+
+
 def entropy_balance() -> str:
     return rf"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, source, len({SPACE_WORDS})::BIGINT AS size,
