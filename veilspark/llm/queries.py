@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balance, decontaminate, license_scan, quality_rules, sql
+from . import balance, decontaminate, license_scan, quality_rules, resampling, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.drop("doc_key")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("detections")
 
@@ -37,7 +42,7 @@ def op10_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_quality_rules, op2_decontamination, op9_license_scan, op10_entropy_balance)}
+    op1_quality_rules, op2_decontamination, op4_quality_classifier, op9_license_scan, op10_entropy_balance)}
 ORACLES: dict[str, str] = {"op1_quality_rules": sql.quality_rules(), "op2_decontamination": sql.decontamination(),
                            "op9_license_scan": sql.license_scan(),
                            "op10_entropy_balance": sql.entropy_balance()}
