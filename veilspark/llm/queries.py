@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balance, decontaminate, language_id, license_scan, quality_rules, resampling, sql
+from . import balance, decontaminate, jaccard_join, language_id, license_scan, quality_rules, resampling, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("doc_key")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.filter(~language_id.held_out()).select("lang", "text"))
@@ -48,7 +52,7 @@ def op10_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_quality_rules, op2_decontamination, op4_quality_classifier, op7_language_id, op9_license_scan, op10_entropy_balance)}
+    op1_quality_rules, op2_decontamination, op4_quality_classifier, op5_jaccard_join, op7_language_id, op9_license_scan, op10_entropy_balance)}
 ORACLES: dict[str, str] = {"op1_quality_rules": sql.quality_rules(), "op2_decontamination": sql.decontamination(),
                            "op9_license_scan": sql.license_scan(),
                            "op10_entropy_balance": sql.entropy_balance()}
