@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balance, decontaminate, jaccard_join, language_id, license_scan, quality_rules, resampling, sql
+from . import balance, chained_dedup, decontaminate, jaccard_join, language_id, license_scan, quality_rules, resampling, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chained_dedup.passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("first").alias("first_word"), F.col("last").alias("end_word"),
+                        F.col("other_id").alias("other_doc_id"), F.col("other_first").alias("other_first_word"),
+                        F.col("other_last").alias("other_end_word"), "n_equal")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("detections")
 
@@ -52,7 +59,7 @@ def op10_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_quality_rules, op2_decontamination, op4_quality_classifier, op5_jaccard_join, op7_language_id, op9_license_scan, op10_entropy_balance)}
+    op1_quality_rules, op2_decontamination, op4_quality_classifier, op5_jaccard_join, op7_language_id, op8_substring_dedup, op9_license_scan, op10_entropy_balance)}
 ORACLES: dict[str, str] = {"op1_quality_rules": sql.quality_rules(), "op2_decontamination": sql.decontamination(),
                            "op9_license_scan": sql.license_scan(),
                            "op10_entropy_balance": sql.entropy_balance()}
