@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from veilspark.functions.scaling import cut
 
-from .columns import bind, space_words
+from .columns import bind, free_name, space_words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 PIECE = 100_000
@@ -138,6 +138,25 @@ def copies(docs: DataFrame, rates: DataFrame, order: Sequence[Column], cap: floa
             .drop("_order", "_piece", "_rank", "_from", "class", "n", "base", "extra"))
 
 
+def mix_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents that the mix takes, with ``copies`` and ``taken`` words after their own columns.
+
+    Decisions join back by id and text; repeated rows of one document share the sum of its copies evenly
+    from the first row on.
+    """
+    decided = mix(docs.select("doc_id", "text", "source"), **options)
+    copies_of, taken_of = free_name(docs, "copies"), free_name(docs, "taken")
+    key = F.struct("doc_id", "source", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("_digest"))
+    order = Window.partitionBy("_key").orderBy(F.lit(1))
+    numbered = docs.withColumn("_key", key).withColumn("_nth", F.row_number().over(order))
+    marks = (decided.select(F.struct("doc_id", "source", "_digest").alias("_key"), "copies", "size")
+             .withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("copies")))))
+    marks = marks.select(F.col("_key").alias("_mark"), F.col("_nth").alias("_at"), F.col("copies").alias(copies_of),
+                         (F.col("copies") * F.col("size")).alias(taken_of))
+    joined = numbered.join(marks, (F.col("_key") == F.col("_mark")) & (F.col("_nth") == F.col("_at")))
+    return joined.drop("_key", "_nth", "_mark", "_at").filter(F.col(copies_of) > 0)
+
+
 def mix(docs: DataFrame, share: float = 1.5, ceiling: float = 2.0, weights: Sequence[float] = WEIGHTS,
         key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies and taken of every document."""
