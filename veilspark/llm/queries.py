@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balance, chained_dedup, decontaminate, jaccard_join, language_id, license_scan, quality_rules, resampling, sql
+from . import balance, chained_dedup, decontaminate, jaccard_join, language_id, license_scan, ngram_trie, quality_rules, resampling, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = language_id.held_out(parts=7)
+    return ngram_trie.score(docs, ngram_trie.build(docs.filter(~held_out)), held_out)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.drop("doc_key")
@@ -59,7 +65,7 @@ def op10_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_quality_rules, op2_decontamination, op4_quality_classifier, op5_jaccard_join, op7_language_id, op8_substring_dedup, op9_license_scan, op10_entropy_balance)}
+    op1_quality_rules, op2_decontamination, op3_lm_scoring, op4_quality_classifier, op5_jaccard_join, op7_language_id, op8_substring_dedup, op9_license_scan, op10_entropy_balance)}
 ORACLES: dict[str, str] = {"op1_quality_rules": sql.quality_rules(), "op2_decontamination": sql.decontamination(),
                            "op9_license_scan": sql.license_scan(),
                            "op10_entropy_balance": sql.entropy_balance()}
