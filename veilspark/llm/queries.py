@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balance, chained_dedup, decontaminate, jaccard_join, language_id, license_scan, ngram_trie, quality_rules, resampling, sql
+from veilspark.functions.scaling import checkpoint_dir
+
+from . import balance, chained_dedup, decontaminate, jaccard_join, language_id, license_scan, ngram_trie, quality_rules, resampling, sql, token_rollups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +45,22 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come in one batch; the next, sent twice, deletes those labelled toxic and revises those
+    of low quality, whose symbols were stripped."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rollup = token_rollups.Rollup(spark, f"{checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.commit("1-load", docs.withColumn("op", F.lit("insert")))
+    verdicts = (labels.groupBy("doc_id").agg(F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"), F.min("quality").alias("quality"))
+                .select("doc_id", F.when(F.col("toxic") == 1, "delete").when(F.col("quality") == 0, "revise").alias("op"))
+                .filter("op IS NOT NULL"))
+    cleaned = docs.withColumn("text", F.regexp_replace("text", r"[#*$%&|<>!]+", " "))
+    changes = cleaned.join(verdicts, "doc_id").select("op", "doc_id", "text", "source", "lang")
+    for _ in range(2):
+        rollup.commit("2-review", changes)
+    return rollup.totals()
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.filter(~language_id.held_out()).select("lang", "text"))
@@ -65,7 +84,7 @@ def op10_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_quality_rules, op2_decontamination, op3_lm_scoring, op4_quality_classifier, op5_jaccard_join, op7_language_id, op8_substring_dedup, op9_license_scan, op10_entropy_balance)}
+    op1_quality_rules, op2_decontamination, op3_lm_scoring, op4_quality_classifier, op5_jaccard_join, op6_token_counts, op7_language_id, op8_substring_dedup, op9_license_scan, op10_entropy_balance)}
 ORACLES: dict[str, str] = {"op1_quality_rules": sql.quality_rules(), "op2_decontamination": sql.decontamination(),
                            "op9_license_scan": sql.license_scan(),
                            "op10_entropy_balance": sql.entropy_balance()}
