@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,11 +13,11 @@ ROWS_PER_PARTITION = 4_000_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the session names; a scratch folder only if it names none."""
+    """The shared checkpoint folder the session names, else one in the warehouse, which is shared too."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="veilspark-checkpoint-"))
+        sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return sc.getCheckpointDir()
 
 
