@@ -169,14 +169,26 @@ def test_more_budget_means_less_error(spark):
     assert errors[1] < errors[0]
 
 
-def test_one_column_table_and_cell_limit(spark):
-    df = skewed(spark).select("c")
-    model = fit_table(df, "t", {}, 1.0, 3000, draws=D)
+def test_one_column_table(spark):
+    model = fit_table(skewed(spark).select("c"), "t", {}, 1.0, 3000, draws=D)
     assert sample_table(spark, model, 10, D).count() == 10
-    wide = fit_table(skewed(spark), "t", {"x": "numerical"}, 1.0, 3000, num_bins=8, max_parents=2, draws=D, max_cells=200)
-    assert sum(f.cells for f in wide.families) <= 200
-    with pytest.raises(ValueError):
-        M.layout([("a", "b")], {"a": 10, "b": 10}, 50)
+
+
+def test_more_columns_leave_other_families_as_they_are(spark):
+    columns = [f"c{i}" for i in range(6)]
+    df = spark.range(500).select(*[(F.pmod(F.hash("id", F.lit(i)), F.lit(32))).cast("string").alias(c) for i, c in enumerate(columns)])
+    network = [(c, tuple(columns[max(0, i - 3):i])) for i, c in enumerate(columns)]
+    sizes = {c: 32 for c in columns}
+    five, six = M.cpt_families(network[:5], sizes), M.cpt_families(network, sizes)
+    assert five == six[:5] and [len(f.columns) for f in six] == [1, 2, 3, 4, 4, 4]
+    model = fit_table(df.select(columns[:5]), "t", {}, 1.0, 500, draws=D, network=network[:5])
+    assert model.cpt.filter("family = 'c4'").count() == 32**4
+
+
+def test_wide_table_fits(spark):
+    df = spark.range(40).select(*[((F.col("id") * (i + 3)) % 3).cast("string").alias(f"c{i}") for i in range(120)])
+    model = fit_table(df, "t", {}, 1.0, 40, num_bins=4, max_parents=1, draws=D)
+    assert len(model.families) == 120 and all(len(f.columns) == 2 for f in model.families[1:])
 
 
 def test_drawn_keys_follow_repetition(spark):

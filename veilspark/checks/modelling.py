@@ -214,3 +214,34 @@ def fit_table_model(spark, sf_dir):
     return order_model(spark, sf_dir).cpt.select("family", "pidx", "code", r6("p").alias("p"))
 
 
+# --- three parents at full resolution ----------------------------------------------------------
+
+WIDE_ROLES = {"l_quantity": NUM, "l_extendedprice": NUM, "l_discount": NUM, "l_tax": CAT, "l_linenumber": CAT, "l_returnflag": CAT}
+WIDE = list(WIDE_ROLES)
+WIDE_NETWORK = [(c, tuple(WIDE[max(0, i - 3):i])) for i, c in enumerate(WIDE)]
+
+
+def wide_sql() -> str:
+    codes = ", ".join(f"{binned(c, 32)} AS {c}" if WIDE_ROLES[c] == NUM else f"(dense_rank() OVER (ORDER BY {c}) - 1)::INTEGER AS {c}" for c in WIDE)
+    size = {c: "32" if WIDE_ROLES[c] == NUM else f"(SELECT count(DISTINCT {c}) FROM lineitem)" for c in WIDE}
+    counted, grid = [], []
+    for child, parents in WIDE_NETWORK:
+        flat = "0::BIGINT"
+        for p in parents:
+            flat = f"({flat} * {size[p]} + {p})"
+        rows = " * ".join([size[p] for p in parents] or ["1"])
+        counted.append(f"SELECT '{child}' AS family, {flat} AS pidx, {child} AS code, count(*) AS cnt FROM wide GROUP BY 2, 3")
+        grid.append(f"SELECT '{child}' AS family, p::BIGINT AS pidx, c::INTEGER AS code FROM range(({rows})::BIGINT) a(p), range(({size[child]})::BIGINT) r(c)")
+    return f"""WITH {bounds_cte('lineitem', [c for c in WIDE if WIDE_ROLES[c] == NUM])}, wide AS (SELECT {codes} FROM lineitem, b),
+counted AS ({' UNION ALL '.join(counted)}), grid AS ({' UNION ALL '.join(grid)}),
+dense AS (SELECT g.*, coalesce(cnt, 0) AS cnt FROM grid g LEFT JOIN counted USING (family, pidx, code)),
+{cpt_sql('joint', EPS).replace('FROM dense, total', 'FROM dense')} SELECT family, pidx, code, {q6('p')} AS p FROM cpt"""
+
+
+@check(wide_sql())
+def cpt_three_parents(spark, sf_dir):
+    """Every cell of six columns' tables at 32 bins, with three parents each where there are three."""
+    lines = table(spark, sf_dir, "lineitem")
+    codec = fit_codec(lines, WIDE_ROLES, WIDE, 32)
+    n = lines.agg(F.count(F.lit(1))).scalar()
+    return fit_codes(codec.encode(lines), codec.sizes, WIDE_NETWORK, n, EPS, DRAWS).select("family", "pidx", "code", r6("p").alias("p"))

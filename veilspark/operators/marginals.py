@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from ..functions.draws import Draws
 
-MAX_CELLS = 5_000_000
+CHUNK = 1 << 16
 LOG_FLOOR = 1e-15
 
 
@@ -47,14 +47,21 @@ class Family:
         return index + self.offset
 
 
-def layout(families: Sequence[Sequence[str]], sizes: Mapping[str, int], max_cells: int = MAX_CELLS) -> list[Family]:
-    """Place families one after another in one cell space."""
+    def flat_sql(self) -> str:
+        """The same over encoded columns, as text: one expression to send, however many families."""
+        index = "0L"
+        for column, size in zip(self.columns, self.sizes):
+            quoted = column.replace("`", "``")
+            index = f"({index} * {size} + `{quoted}`)"
+        return f"{index} + {self.offset}L"
+
+
+def layout(families: Sequence[Sequence[str]], sizes: Mapping[str, int]) -> list[Family]:
+    """Place families one after another in one cell space, however large: cells only ever live in DataFrames."""
     out, offset = [], 0
     for columns in families:
         out.append(Family("|".join(columns), tuple(columns), tuple(sizes[c] for c in columns), offset))
         offset += out[-1].cells
-    if offset > max_cells:
-        raise ValueError(f"{offset} cells exceed the limit of {max_cells}; use fewer bins or parents")
     return out
 
 
@@ -64,18 +71,23 @@ def cell_counts(codes: DataFrame, families: Sequence[Family]) -> DataFrame:
     Each row is multiplied by the number of families, but only as one integer each, and partial
     aggregation shrinks them to the non-empty cells before the shuffle.
     """
-    cells = codes.select(F.explode(F.array(*[f.flat() for f in families])).alias("cell"))
+    cells = codes.select(F.expr(f"explode(array({', '.join(f.flat_sql() for f in families)}))").alias("cell"))
     return cells.groupBy("cell").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def cell_grid(spark: SparkSession, families: Sequence[Family]) -> DataFrame:
-    """Every cell of every family, empty ones too: (family, columns, pidx, code, cell)."""
-    rows = [(f.name, f.offset, f.cells // f.sizes[-1], f.sizes[-1]) for f in families]
-    return (spark.createDataFrame(rows, "family string, _offset bigint, _rows bigint, _width bigint")
-            .withColumn("pidx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_rows") - 1)))
-            .withColumn("code", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_width") - 1)))
-            .withColumn("cell", F.col("_offset") + F.col("pidx") * F.col("_width") + F.col("code"))
-            .select("family", "pidx", F.col("code").cast("int").alias("code"), "cell"))
+    """Every cell of every family, empty ones too: (family, pidx, code, cell).
+
+    Families are cut into chunks of cells that are dealt out to tasks before their cells are listed.
+    """
+    rows = [(f.name, f.offset, f.cells, f.sizes[-1]) for f in families]
+    chunks = (spark.createDataFrame(rows, "family string, _offset bigint, _cells bigint, _width bigint")
+              .withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_cells") - 1, F.lit(CHUNK).cast("bigint")))))
+    parts = max(spark.sparkContext.defaultParallelism, sum(-(-f.cells // CHUNK) for f in families) // 8)
+    upto = F.least(F.col("_from") + CHUNK, F.col("_cells")) - 1
+    return (chunks.repartition(parts).withColumn("_at", F.explode(F.sequence("_from", upto)))
+            .select("family", F.floor(F.col("_at") / F.col("_width")).alias("pidx"), (F.col("_at") % F.col("_width")).cast("int").alias("code"),
+                    (F.col("_offset") + F.col("_at")).alias("cell")))
 
 
 def dense_counts(spark: SparkSession, families: Sequence[Family], counts: DataFrame) -> DataFrame:
@@ -165,10 +177,9 @@ def greedy_network(columns: Sequence[str], scores: Mapping[tuple[str, str], floa
     return network
 
 
-def cpt_families(network: Sequence[tuple[str, Sequence[str]]], sizes: Mapping[str, int],
-                 max_cells: int = MAX_CELLS) -> list[Family]:
+def cpt_families(network: Sequence[tuple[str, Sequence[str]]], sizes: Mapping[str, int]) -> list[Family]:
     """One family (parents.., child) per column, named after the child."""
-    placed = layout([(*parents, child) for child, parents in network], sizes, max_cells)
+    placed = layout([(*parents, child) for child, parents in network], sizes)
     return [Family(child, f.columns, f.sizes, f.offset) for (child, _), f in zip(network, placed)]
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import Draws
 from ..functions.scaling import cut
 from .encode import Codec, fit_codec
-from .marginals import (MAX_CELLS, Family, all_pairs, cell_counts, conditional_tables, cpt_families,
+from .marginals import (Family, all_pairs, cell_counts, conditional_tables, cpt_families,
                         dense_counts, greedy_network, layout, mutual_information, noisy_marginals,
                         symmetric_scores)
 
@@ -58,33 +58,16 @@ def fit_network(codes: DataFrame, sizes: Mapping[str, int], n_rows: int, eps: fl
     return greedy_network(columns, scores, max_parents)
 
 
-def trim_parents(network: Network, sizes: Mapping[str, int], max_cells: int) -> Network:
-    """Drop the earliest parents of columns whose conditional table alone would be too large."""
-    out = []
-    for child, parents in network:
-        parents = list(parents)
-        while parents and _cells(parents, child, sizes) * len(network) > max_cells:
-            parents.pop(0)
-        out.append((child, tuple(parents)))
-    return out
-
-
-def _cells(parents: Sequence[str], child: str, sizes: Mapping[str, int]) -> int:
-    cells = sizes[child]
-    for p in parents:
-        cells *= sizes[p]
-    return cells
-
-
 def fit_table(df: DataFrame, name: str, dtypes: Mapping[str, str], eps: float, n_rows: int,
               columns: Sequence[str] | None = None, num_bins: int = 32, max_parents: int = 3,
               null_policy: str = "category", noise_on: str = "joint", draws: Draws = Draws(),
               network: Network | None = None, codec: Codec | None = None,
-              max_cells: int = MAX_CELLS, path: str | None = None) -> TableModel:
+              path: str | None = None) -> TableModel:
     """Learn a table's model within ``eps``.
 
     The input is scanned for bounds, dictionaries, pair counts and conditional counts; everything
-    that leaves those scans is bounded by the number of cells.  The conditional tables are
+    that leaves those scans is bounded by the number of cells, which ``num_bins`` and ``max_parents``
+    set: every column keeps all its parents, whatever other columns there are.  The conditional tables are
     materialised (at ``path`` as Parquet, else in the checkpoint folder), so sampling never goes
     back to the real data.
     """
@@ -97,8 +80,7 @@ def fit_table(df: DataFrame, name: str, dtypes: Mapping[str, str], eps: float, n
     share = release_share(len(columns), eps)
     if network is None:
         network = fit_network(codes, sizes, max(n_rows, 1), share, max_parents, draws)
-    network = trim_parents(network, sizes, max_cells)
-    families = cpt_families(network, sizes, max_cells)
+    families = cpt_families(network, sizes)
     dense = dense_counts(df.sparkSession, families, cell_counts(codes, families))
     cpt = conditional_tables(dense, max(n_rows, 1), share, draws, noise_on).select("family", "pidx", "code", "p")
     if path:

@@ -15,6 +15,7 @@ from .model import TableModel
 
 KEY_BUCKETS = 4096
 CELLS_PER_CHUNK = 4096
+BROADCAST_BYTES = 32 << 20
 
 
 def sample_codes(rows: DataFrame, families: Sequence[Family], cpt: DataFrame, draws: Draws,
@@ -22,8 +23,8 @@ def sample_codes(rows: DataFrame, families: Sequence[Family], cpt: DataFrame, dr
     """Add one code column per family, in network order.
 
     Draws are computed next to the row id; every column then looks up its cumulative row by the
-    parents' flat index.  The lookup tables have at most the fit's cell limit of entries, so
-    they are broadcast and the rows are never shuffled.
+    parents' flat index.  A table of at most ``BROADCAST_BYTES`` (known from its number of cells) is
+    broadcast; a larger one is joined by shuffle, where a frequent parent combination is split.
     """
     cdf = cdf_rows(cpt)
     out = rows.select("*", *[draws.uniform("sample", scope, f.name, F.col(rid)).alias(f"_u{i}")
@@ -35,9 +36,9 @@ def sample_codes(rows: DataFrame, families: Sequence[Family], cpt: DataFrame, dr
             out = out.withColumn("_cdf", table.select("cdf").scalar())
         else:
             parents = Family(f.name, f.columns[:-1], f.sizes[:-1], 0)
-            out = (out.withColumn("_pidx", parents.flat())
-                   .join(F.broadcast(table.select(F.col("pidx").alias("_pidx"), F.col("cdf").alias("_cdf"))),
-                         "_pidx", "left"))
+            lookup = table.select(F.col("pidx").alias("_pidx"), F.col("cdf").alias("_cdf"))
+            small = 8 * f.cells + 64 * (f.cells // f.sizes[-1]) <= BROADCAST_BYTES
+            out = out.withColumn("_pidx", parents.flat()).join(F.broadcast(lookup) if small else lookup, "_pidx", "left")
         code = step_index(u, F.col("_cdf"), f.sizes[-1])
         out = out.withColumn(f.columns[-1], code.cast("int")).drop("_pidx", "_cdf", f"_u{i}")
     return out
