@@ -127,11 +127,11 @@ def fit(rows: DataFrame, sample: int = SAMPLE, max_words: int = MAX_WORDS, max_g
     languages = sorted({lang for lang, _ in sizes})
     place = {lang: i for i, lang in enumerate(languages)}
     tables: dict[int, dict[str, list[float]]] = {n: {} for n in range(LONGEST + 1)}
-    floors = {n: [-np.log(sizes[lang, n][0] + sizes[lang, n][1] + 1.0) + np.log(0.5) if (lang, n) in sizes else -30.0 for lang in languages]
-              for n in tables}
+    # An entry that a language lacks scores alike in all languages: as half a count in the one with the most text.
+    floors = {n: float(np.log(0.5 / (1.0 + max((sum(sizes[x]) for x in sizes if x[1] == n), default=0)))) for n in tables}
     for r in kept.drop("rank").toLocalIterator():
         total, kinds = sizes[r["lang"], r["n"]]
-        row = tables[r["n"]].setdefault(r["gram"], list(floors[r["n"]]))
+        row = tables[r["n"]].setdefault(r["gram"], [floors[r["n"]]] * len(languages))
         row[place[r["lang"]]] = float(np.log((r["times"] + 0.5) / (total + kinds + 1.0)))
     return Model(languages, tables)
 

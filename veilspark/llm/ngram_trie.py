@@ -379,8 +379,8 @@ def score_texts(model: Trie, texts: list[bytes]) -> list[np.ndarray]:
     context, word, (sizes, times) = numbered(model, texts)
     owner = np.repeat(np.arange(len(texts)), sizes)
     rest = DISCOUNT * v / n / (v + 1) if n else 1.0
-    single = (np.maximum(times - DISCOUNT, 0) / n if n else 0.0) + rest
-    p = np.array(single, dtype=float)
+    single = np.maximum(times - DISCOUNT, 0) / max(n, 1) + rest
+    p = single.copy()
     if n:
         known = np.flatnonzero(context >= 0)
         # An unknown word takes the place of word 0 to learn its context's weight; its own part is 0.
