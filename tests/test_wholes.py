@@ -9,6 +9,7 @@ from veilspark.plans.experiments import SUMMARY_METRICS, grid_summary, run_grid,
 from veilspark.plans.report import evaluate_all
 from veilspark.plans.synthesis import Settings, independent, non_private, synthesize
 from veilspark.sources.datasets import SPECS, load_dataset
+from veilspark.schema import parse_schema
 from veilspark.sources.io import collect_sizes, flatten_record, load_tables
 
 SMALL = Settings(num_queries=10, num_bins=8, max_parents=2, query_types=("1way", "2way", "cross_table"))
@@ -81,3 +82,15 @@ def test_grid_and_summary(spark):
     wide = widen(rows, ["dataset", "method", "epsilon", "run"], metrics)
     summary = grid_summary(wide.toDF(*[c.replace(".", "_") for c in wide.columns]), [m.replace(".", "_") for m in metrics])
     assert summary.filter("level = 'run'").count() == 3 and summary.filter("level = 'method'").count() == 3
+
+
+def test_csv_values_that_do_not_parse_raise(spark, tmp_path):
+    from pyspark.errors import PySparkException
+    from pyspark.sql import types as T
+    schema = parse_schema({"tables": {"t": {"attributes": ["a"], "dtypes": {"a": "numerical"}, "primary_key": None}}, "foreign_keys": []})
+    spark.createDataFrame([("1",), ("2020-01-01T00:00:00.000Z",)], "a string").coalesce(1).write.option("header", True).csv(f"{tmp_path}/t.csv")
+    declared = {"t": T.StructType([T.StructField("a", T.DoubleType())])}
+    with pytest.raises(PySparkException):
+        load_tables(spark, schema, str(tmp_path), types=declared)["t"].collect()
+    kept = load_tables(spark, schema, str(tmp_path))["t"]
+    assert kept.filter("a is null").isEmpty()

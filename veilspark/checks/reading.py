@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scaling import checkpoint_dir
 from ..schema import Table
-from ..sources.io import align_columns, flatten_struct, table_sizes, union_all, write_results
-from .fixtures import STAR_TABLES, star_schema, star_tables
+from ..sources.io import align_columns, flatten_struct, load_tables, table_sizes, union_all, write_results
+from .fixtures import METADATA, NUM, STAR_TABLES, star_schema, star_tables
 from .registry import check, table
 
 ALL_TABLES = [*STAR_TABLES, "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -59,16 +59,35 @@ def q_flatten_struct(spark, sf_dir):
     return flatten_struct(nested)
 
 
-@check("""SELECT 'orders' AS table_name, count(*) AS n_rows, count(o_custkey) AS n_keys FROM orders
-          UNION ALL SELECT 'customer', count(*), count(c_nationkey) FROM customer""")
+WHOLE = {"c_nationkey", "s_nationkey", "p_size", "l_linenumber"}
+TIMES = {"o_orderdate", "l_shipdate"}
+
+
+def _kinds(name):
+    """How each column of a table is written down for comparison."""
+    for column, role in METADATA["tables"][name]["dtypes"].items():
+        if column in TIMES:
+            yield column, "time"
+        elif column in WHOLE or column.endswith("key"):
+            yield column, "whole"
+        else:
+            yield column, "real" if role == NUM else "text"
+
+
+def values_sql() -> str:
+    forms = {"time": "epoch_us({})::VARCHAR", "whole": "{}::BIGINT::VARCHAR", "real": "round({} * 10000)::BIGINT::VARCHAR", "text": "{}"}
+    return " UNION ALL ".join(f"SELECT '{n}' AS table_name, concat_ws('|', " + ", ".join(
+        f"coalesce({forms[kind].format(c)}, '-')" for c, kind in _kinds(n)) + f") AS row_values FROM {n}" for n in STAR_TABLES)
+
+
+@check(values_sql())
 def csv_dataset_scan(spark, sf_dir):
-    """Tables written as a CSV dataset and loaded again through the all-files-or-nothing loader."""
-    from ..sources.io import load_tables
+    """All values of all tables, written as a CSV dataset and loaded again with inferred types."""
     base = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
-    tables = star_tables(spark, sf_dir, "orders", "customer")
-    for name, df in tables.items():
+    for name, df in star_tables(spark, sf_dir).items():
         write_results(df, f"{base}/{name}.csv", "csv")
-    found = load_tables(spark, star_schema("orders", "customer"), base)
-    keys = {"orders": "o_custkey", "customer": "c_nationkey"}
-    return union_all([df.agg(F.count(F.lit(1)).alias("n_rows"), F.count(keys[n]).alias("n_keys"))
-                     .select(F.lit(n).alias("table_name"), "n_rows", "n_keys") for n, df in found.items()])
+    forms = {"time": lambda c: F.unix_micros(c).cast("string"), "whole": lambda c: c.cast("bigint").cast("string"),
+             "real": lambda c: F.round(c * 10000).cast("bigint").cast("string"), "text": lambda c: c}
+    found = load_tables(spark, star_schema(), base)
+    return union_all([found[n].select(F.lit(n).alias("table_name"), F.concat_ws("|", *[
+        F.coalesce(forms[kind](F.col(c)), F.lit("-")) for c, kind in _kinds(n)]).alias("row_values")) for n in STAR_TABLES])

@@ -161,11 +161,12 @@ STAR = "synthetic_star"
 
 
 def load_dataset(spark: SparkSession, name: str, data_dir: str | None = None, fmt: str = "csv",
-                 draws: Draws = Draws(), scale: float = 1.0,
+                 draws: Draws = Draws(), scale: float = 1.0, types=None,
                  **star) -> tuple[dict[str, DataFrame], RelationalSchema]:
     """Tables and schema of a named dataset.
 
-    Files are used only if every table's file exists under ``data_dir/name``.  ``scale`` multiplies
+    Files are used only if every table's file exists under ``data_dir/name``; ``types`` gives physical
+    types of CSV tables, others are inferred.  ``scale`` multiplies
     generated row counts; keyword arguments shape the configurable star schema.
     """
     if name == STAR:
@@ -176,7 +177,7 @@ def load_dataset(spark: SparkSession, name: str, data_dir: str | None = None, fm
         raise ValueError(f"unknown dataset {name!r}; choose from {', '.join([*SPECS, STAR])}")
     schema = spec_schema(spec)
     if data_dir and name != STAR:
-        found = load_tables(spark, schema, f"{data_dir}/{name}", fmt)
+        found = load_tables(spark, schema, f"{data_dir}/{name}", fmt, types)
         if found:
             return found, schema
     return generate_tables(spark, scaled(spec, scale) if scale != 1.0 else spec, draws), schema

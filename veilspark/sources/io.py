@@ -10,37 +10,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import NUMERICAL, RelationalSchema, Table
+from ..schema import RelationalSchema
 
 Tables = Mapping[str, DataFrame]
 
 
-def struct_type(table: Table) -> T.StructType:
-    """Explicit read schema by role: numbers as doubles, everything else as text."""
-    return T.StructType([
-        T.StructField(a, T.DoubleType() if table.role(a) == NUMERICAL else T.StringType())
-        for a in table.attributes])
-
-
 def load_tables(spark: SparkSession, schema: RelationalSchema, root: str,
                 fmt: str = "csv", types: Mapping[str, T.StructType] | None = None) -> dict[str, DataFrame] | None:
     """One scan per declared table at ``root/<table>.<fmt>``, or None unless all of them exist.
 
-    CSV files are read by header with declared types and without an inference pass.
+    CSV columns take the physical types of ``types`` where given; a value that does not parse is an error.
+    Other tables' types are inferred from all their rows, in one more pass.
     """
     tables = {}
-    for name, table in schema.tables.items():
+    for name in schema.tables:
         reader = spark.read
-        if fmt == "csv":
-            # only declared columns are parsed, by name; a missing one is skipped by the caller
-            header = _csv_header(spark, f"{root}/{name}.csv")
-            if header is None:
-                return None
-            declared = (types or {}).get(name) or struct_type(table)
-            by_name = {f.name: f for f in declared.fields}
-            reader = reader.option("header", True).schema(
-                T.StructType([by_name.get(h, T.StructField(h, T.StringType())) for h in header]))
         try:
+            if fmt == "csv":
+                reader = reader.option("header", True).option("mode", "FAILFAST")
+                declared = (types or {}).get(name)
+                if declared is not None:
+                    by_name = {f.name: f for f in declared.fields}
+                    header = spark.read.option("header", True).csv(f"{root}/{name}.csv").columns
+                    reader = reader.schema(T.StructType([by_name.get(h, T.StructField(h, T.StringType())) for h in header]))
+                else:
+                    reader = reader.option("inferSchema", True)
             df = reader.format(fmt).load(f"{root}/{name}.{fmt}")
         except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e):
@@ -50,16 +44,6 @@ def load_tables(spark: SparkSession, schema: RelationalSchema, root: str,
     return align_all(tables, schema)
 
 
-def _csv_header(spark: SparkSession, path: str) -> list[str] | None:
-    try:
-        first = spark.read.option("header", True).csv(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
-    return first.columns
-
-
 def align_columns(df: DataFrame, attributes: list[str] | tuple[str, ...]) -> DataFrame:
     """Declared columns that exist, in declared order."""
     return df.select([c for c in attributes if c in df.columns])
