@@ -162,3 +162,18 @@ def normal_pair(u: Column, v: Column) -> tuple[Column, Column]:
     """Two independent standard normal draws from two uniform ones (Box and Muller)."""
     radius, angle = F.sqrt(-2.0 * F.log(u)), v * (2.0 * math.pi)
     return radius * F.cos(angle), radius * F.sin(angle)
+
+
+# A rational approximation of the normal distribution function to double precision.
+CDF_TOP = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+CDF_BOTTOM = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831,
+              793.826512519948, 440.413735824752)
+
+
+def normal_cdf(x: Column) -> Column:
+    """Standard normal distribution function."""
+    size = F.abs(x)
+    bell = F.exp(-size * size / 2)
+    far = size + 1 / (size + 2 / (size + 3 / (size + 4 / (size + 0.65))))
+    below = F.when(size < 7.07, bell * _horner(CDF_TOP, size) / _horner(CDF_BOTTOM, size)).otherwise(bell / far / 2.506628274631)
+    return F.when(x > 0, 1 - below).otherwise(below)

@@ -1,53 +1,61 @@
-"""Non-private baseline: a Gaussian copula per table.
+"""Non-private baseline: a Gaussian copula per table, on ranks.
 
-Columns are coded on a fine grid, each code gets the normal score of its middle rank, and one
-more pass gives all pairwise correlations.  Everything that leaves the two passes is bounded
-by ``resolution`` values per column, so sampling is a projection on ``spark.range``.
+Every distinct value of a column owns an interval of positions as long as its rows, in the order of the
+values.  A row's normal score is the normal quantile of the middle of its value's interval; one more pass
+gives all pairwise correlations.  To sample, mixed normal draws become positions again and are looked up
+in the intervals by equi-join, so all values, types and shares are kept however skewed a column is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
-from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.draws import Draws, double_array, normal_pair, normal_quantile, step_index
-from ..functions.scaling import row_ids
-from .encode import Codec, fit_codec
-from .marginals import Family, all_pairs, cell_counts, dense_counts, layout
+from ..functions.draws import Draws, normal_cdf, normal_pair, normal_quantile
+from ..functions.scaling import cut, dense_ordinal, row_ids, running_total
+from .marginals import all_pairs
+from .sample import look_up
+
+VALUES_PER_BUCKET = 4096
+BROADCAST_VALUES = 10_000
 
 
 @dataclass
 class Copula:
-    codec: Codec
     columns: list[str]
-    shares: dict[str, list[float]]
+    intervals: dict[str, DataFrame]
+    facts: dict[str, tuple[int, int, int]]
+    """Rows, nulls and distinct values of each column."""
     correlation: np.ndarray
 
 
-def normal_scores(counts: DataFrame) -> DataFrame:
-    """(family, code, z): normal quantile of the middle rank of each code's rows."""
-    run = Window.partitionBy("family").orderBy("code").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("cnt").over(run), F.lit(0))
-    total = F.sum("cnt").over(Window.partitionBy("family"))
-    middle = (before + F.col("cnt") / 2.0) / total
-    return counts.filter(F.col("cnt") > 0).select("family", "code", "cnt", normal_quantile(middle).alias("z"))
+def value_intervals(df: DataFrame, column: str) -> DataFrame:
+    """(key, start, stop): the positions of each distinct non-null value, in the values' order."""
+    counts = df.groupBy(F.col(column).alias("key")).agg(F.count(F.lit(1)).alias("_w")).filter("key is not null")
+    placed = dense_ordinal(counts, ["key"], "_place")
+    total = running_total(placed, "_w", F.floor(F.col("_place") / VALUES_PER_BUCKET), ["_place"], "start")
+    return total.select("key", "start", (F.col("start") + F.col("_w")).alias("stop"))
+
 
+def normal_scores(intervals: DataFrame, n: int) -> DataFrame:
+    """(key, z): normal quantile of the middle rank of each value's rows among n non-null rows."""
+    return intervals.select("key", normal_quantile((F.col("start") + F.col("stop")) / (2.0 * max(n, 1))).alias("z"))
 
-def histograms(codes: DataFrame, columns: Sequence[str], sizes: Mapping[str, int]) -> DataFrame:
-    families = [Family(f.columns[0], f.columns, f.sizes, f.offset) for f in layout([(c,) for c in columns], sizes)]
-    return dense_counts(codes.sparkSession, families, cell_counts(codes, families))
 
+def score_correlations(df: DataFrame, scores: dict[str, DataFrame], small: Sequence[str] = ()) -> DataFrame:
+    """(a, b, r): correlation of the normal scores of every pair of columns over rows that have both.
 
-def score_correlations(codes: DataFrame, columns: Sequence[str], scores: Mapping[str, Sequence[float]]) -> DataFrame:
-    """(a, b, r): correlation of the normal scores of every pair of columns, in one pass."""
-    z = codes.select(*[F.element_at(double_array(scores[c]), F.col(c) + 1).alias(c)
-                       for c in columns])
+    Values turn into scores by a join per column, broadcast for the ``small`` ones.
+    """
+    columns = list(scores)
+    z = df.select(*columns)
+    for c in columns:
+        table = scores[c].select(F.col("key").alias(c), F.col("z").alias("_z"))
+        z = z.join(F.broadcast(table) if c in small else table, c, "left").drop(c).withColumnRenamed("_z", c)
     pairs = all_pairs(columns)
     row = z.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     return row.select(F.inline(F.array(*[
@@ -55,29 +63,30 @@ def score_correlations(codes: DataFrame, columns: Sequence[str], scores: Mapping
         for i, (a, b) in enumerate(pairs)])))
 
 
-def collect_scores(hist: DataFrame, columns: Sequence[str], sizes: Mapping[str, int]) -> tuple[dict, dict]:
-    """Scores and row shares per code, as driver lists of bounded length."""
-    scores = {c: [0.0] * sizes[c] for c in columns}
-    counts = {c: [0] * sizes[c] for c in columns}
-    for r in normal_scores(hist).collect():
-        scores[r["family"]][r["code"]] = r["z"]
-        counts[r["family"]][r["code"]] = r["cnt"]
-    return scores, {c: [x / max(sum(v), 1) for x in v] for c, v in counts.items()}
-
-
-def fit_copula(df: DataFrame, dtypes: Mapping[str, str], columns: Sequence[str] | None = None,
-               resolution: int = 256) -> Copula:
+def fit_copula(df: DataFrame, columns: Sequence[str] | None = None) -> Copula:
     columns = list(columns or df.columns)
-    codec = fit_codec(df, dtypes, columns, resolution)
-    codes, sizes = codec.encode(df), codec.sizes
-    scores, shares = collect_scores(histograms(codes, columns, sizes), columns, sizes)
+    intervals = {c: cut(value_intervals(df, c)) for c in columns}
+    counted = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    facts = {c: (counted["n"], counted["n"] - counted[f"c{i}"], intervals[c].count()) for i, c in enumerate(columns)}
     correlation = np.eye(len(columns))
     if len(columns) > 1:
         at = {c: i for i, c in enumerate(columns)}
-        for r in score_correlations(codes, columns, scores).collect():
+        scores = {c: normal_scores(intervals[c], facts[c][0] - facts[c][1]) for c in columns}
+        small = [c for c in columns if facts[c][2] <= BROADCAST_VALUES]
+        for r in score_correlations(df, scores, small).collect():
             value = r["r"] if r["r"] is not None and np.isfinite(r["r"]) else 0.0
             correlation[at[r["a"]], at[r["b"]]] = correlation[at[r["b"]], at[r["a"]]] = value
-    return Copula(codec, columns, shares, correlation)
+    return Copula(columns, intervals, facts, nearest_correlation(correlation))
+
+
+def nearest_correlation(matrix: np.ndarray) -> np.ndarray:
+    """Pairwise correlations made positive definite, if nulls made them inconsistent."""
+    values, vectors = np.linalg.eigh(matrix)
+    if values.min(initial=1.0) > 1e-9:
+        return matrix
+    fixed = vectors @ np.diag(np.maximum(values, 1e-9)) @ vectors.T
+    scale = np.sqrt(np.diag(fixed))
+    return fixed / np.outer(scale, scale)
 
 
 def sample_copula(spark: SparkSession, copula: Copula, n: int, draws: Draws, scope: str = "") -> DataFrame:
@@ -85,22 +94,17 @@ def sample_copula(spark: SparkSession, copula: Copula, n: int, draws: Draws, sco
     back through each column's own distribution."""
     k = len(copula.columns)
     factor = np.linalg.cholesky(copula.correlation * (1 - 1e-9) + 1e-9 * np.eye(k))
-    names = list(enumerate(copula.columns))
     # one projection per step, as each step uses the one before several times
     u = row_ids(spark, n).select("_rid", *[
         draws.uniform("copula", scope, i, F.col("_rid")).alias(f"_u{i}") for i in range(k + k % 2)])
-    z = u.select("_rid", *[normal_pair(F.col(f"_u{i - i % 2}"), F.col(f"_u{i - i % 2 + 1}"))[i % 2].alias(f"_z{i}")
-                           for i in range(k)])
-    mixed = z.select("_rid", *[
-        sum((float(factor[i, j]) * F.col(f"_z{j}") for j in range(i + 1)), F.lit(0.0)).alias(f"_m{i}") for i, _ in names])
-    coded = mixed.select("_rid", *[
-        step_index(F.col(f"_m{i}"), _thresholds(copula.shares[c]), len(copula.shares[c])).alias(c) for i, c in names])
-    return copula.codec.decode(coded, ["_rid"], draws, scope=f"copula/{scope}", order=copula.columns)
-
-
-def _thresholds(shares: Sequence[float]) -> Column:
-    """Normal scores up to which each code reaches."""
-    ends = np.minimum(np.cumsum(shares), 1.0)
-    ends[-1] = 1.0
-    normal = NormalDist()
-    return double_array([normal.inv_cdf(float(x)) if 0 < x < 1 else float("inf") * (1 if x >= 1 else -1) for x in ends])
+    pairs = u.select("_rid", *[F.struct(*[z.alias(f"z{j}") for j, z in enumerate(normal_pair(F.col(f"_u{i}"), F.col(f"_u{i + 1}")))]).alias(f"_p{i}")
+                               for i in range(0, k, 2)])
+    mixed = pairs.select("_rid", *[
+        sum((float(factor[i, j]) * F.col(f"_p{j - j % 2}.z{j % 2}") for j in range(i + 1)), F.lit(0.0)).alias(f"_m{i}") for i in range(k)])
+    out = mixed
+    for i, c in enumerate(copula.columns):
+        rows, nulls, values = copula.facts[c]
+        position = F.least(F.floor(normal_cdf(F.col(f"_m{i}")) * rows), F.lit(rows - 1)).cast("bigint") - nulls
+        out = look_up(out.withColumn("_pos", position).drop(f"_m{i}"), copula.intervals[c], max(1, (rows - nulls) // max(values, 1)), c,
+                      small=values <= BROADCAST_VALUES)
+    return out.select("_rid", *copula.columns)

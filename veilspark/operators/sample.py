@@ -92,24 +92,32 @@ def draw_keys(rows: DataFrame, parent: DataFrame, key: str, u: Column, name: str
     intervals = key_intervals(weights)
     size = weights.agg(F.sum("_w").alias("n"), F.count(F.lit(1)).alias("k")).select(
         F.struct("n", F.greatest(F.floor(F.try_divide("n", "k")), F.lit(1)).alias("w"))).scalar()
+    asked = (rows.withColumn("_n", size["n"]).withColumn("_pos", index_draw(u, F.col("_n"))).drop("_n"))
+    return look_up(asked, intervals, size["w"], name)
+
+
+def look_up(rows: DataFrame, intervals: DataFrame, width: Column | int, name: str, small: bool = False) -> DataFrame:
+    """Replace the position ``_pos`` of every row by the key whose interval (key, start, stop) holds it, null if none.
+
+    Keys are placed on a grid of cells ``width`` positions wide; ``small`` intervals are broadcast.
+    """
+    width = width if isinstance(width, Column) else F.lit(width)
     first, last = F.floor(F.col("start") / F.col("_width")), F.floor((F.col("stop") - 1) / F.col("_width"))
     chunk = F.col("_chunk") * CELLS_PER_CHUNK
     # a key that owns a third of all positions covers a third of all cells: its chunks of cells are
     # spread over the tasks before the cells themselves are listed
-    placed = (intervals.withColumn("_width", size["w"]).withColumn("_first", first).withColumn("_last", last)
+    placed = (intervals.withColumn("_width", width).withColumn("_first", first).withColumn("_last", last)
               .withColumn("_chunk", F.explode(F.sequence(F.floor(F.col("_first") / CELLS_PER_CHUNK),
                                                          F.floor(F.col("_last") / CELLS_PER_CHUNK))))
               .repartition("_chunk")
               .withColumn("_cell", F.explode(F.sequence(F.greatest("_first", chunk),
                                                         F.least("_last", chunk + (CELLS_PER_CHUNK - 1)))))
               .select(F.col("key").alias(name), "_cell", "start", "stop"))
-    asked = (rows.withColumn("_n", size["n"]).withColumn("_w", size["w"])
-             .withColumn("_pos", index_draw(u, F.col("_n")))
-             .withColumn("_cell", F.floor(F.col("_pos") / F.col("_w"))))
+    asked = rows.withColumn("_w", width).withColumn("_cell", F.floor(F.col("_pos") / F.col("_w"))).drop("_w")
     hit = ((asked["_cell"] == placed["_cell"]) & (asked["_pos"] >= placed["start"])
            & (asked["_pos"] < placed["stop"]))
-    return (asked.join(placed, hit, "left")
-            .drop(asked["_cell"], placed["_cell"], "_pos", "_n", "_w", "start", "stop"))
+    return (asked.join(F.broadcast(placed) if small else placed, hit, "left")
+            .drop(asked["_cell"], placed["_cell"], "_pos", "start", "stop"))
 
 
 def condition_foreign_key(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str,
