@@ -31,7 +31,7 @@ def query_log(spark, sf_dir):
 _S = star_schema()
 STATS = f"""sizes AS ({sizes_sql(STAR_TABLES)}), stats AS (
   SELECT v.*, s.n_rows FROM (VALUES {", ".join(
-    f"({i}, '{t}', {len(m.attributes)}, {len(_S.child_tables(t))}, {len(_S.parent_tables(t))})"
+    f"({i}, '{t}', {len(m.attributes)}, {len(_S.references_to(t))}, {len(_S.foreign_keys_of(t))})"
     for i, (t, m) in enumerate(_S.tables.items()))}) v(ordinal, table_name, n_attrs, n_children, n_parents)
   JOIN sizes s USING (table_name))"""
 WEIGHTS = """weights AS (

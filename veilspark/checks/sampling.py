@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from ..operators.sample import bootstrap, cap_rows, condition_foreign_key, sample_codes, sample_table, stratified_split
@@ -84,14 +82,13 @@ def fk_condition_repeated(spark, sf_dir):
     return condition_foreign_key(lines, "custkey", orders_copy(spark, sf_dir), "o_custkey", DRAWS, "rid", "lineitem").drop("rid")
 
 
-STAR_SETTINGS = Settings(num_bins=16, max_parents=2, num_queries=50)
+STAR_SETTINGS = Settings()
 
 
-@lru_cache(maxsize=8)
-def synthesis(spark, sf_dir, settings=STAR_SETTINGS, names=()):
-    """One synthesis per session, folder and settings, shared by the queries that look at it."""
-    schema = star_schema(*names)
-    tables = star_tables(spark, sf_dir, *schema.tables)
+def synthesis(spark, sf_dir, settings=STAR_SETTINGS):
+    """A synthesis of all tables, by default with the default settings."""
+    schema = star_schema()
+    tables = star_tables(spark, sf_dir)
     return synthesize(tables, schema, settings), tables, schema
 
 

@@ -23,6 +23,7 @@ from ..functions.draws import Draws, choice_draw
 from ..schema import RelationalSchema
 
 QUERY_TYPES = ("1way", "2way", "cross_table")
+# Renyi orders.
 RDP_ORDERS = (1.5, 2.0, 3.0, 5.0, 10.0, 25.0, 50.0, 100.0)
 MAX_TABLE_SETS = 50_000
 
@@ -30,7 +31,7 @@ MAX_TABLE_SETS = 50_000
 def table_stats(spark: SparkSession, schema: RelationalSchema, sizes: DataFrame | None = None) -> DataFrame:
     """One row per table; a table without a known size counts as one row."""
     facts = spark.createDataFrame(
-        [(i, t, max(len(m.attributes), 1), len(schema.child_tables(t)), len(schema.parent_tables(t)))
+        [(i, t, max(len(m.attributes), 1), len(schema.references_to(t)), len(schema.foreign_keys_of(t)))
          for i, (t, m) in enumerate(schema.tables.items())],
         "ordinal int, table_name string, n_attrs int, n_children int, n_parents int")
     if sizes is None:

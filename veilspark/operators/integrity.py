@@ -7,6 +7,7 @@ any shuffle; full rows are only touched by a broadcast of the bad keys when thos
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import Draws
 from ..functions.keys import comparable
-from ..functions.scaling import BROADCAST_ROWS, cut, small_side
+from ..functions.scaling import cut, small_side
 from ..schema import ForeignKey, RelationalSchema
 from ..sources.io import union_all
 from .nearest import nearest_parents, shared_numeric_columns
@@ -57,10 +58,36 @@ def report_fk(fk: ForeignKey, tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def fk_report_all(schema: RelationalSchema, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Reports of all constraints, one row each."""
+    """Reports of all constraints, one row each.
+
+    Every child table is read once: all its keys are listed as (constraint, key) and counted together.
+    """
     if not schema.foreign_keys:
         return SparkSession.active().createDataFrame([], REPORT_SCHEMA)
-    return union_all([report_fk(fk, tables) for fk in schema.foreign_keys])
+    odd, counted, given = [], [], []
+    for name in dict.fromkeys(fk.child_table for fk in schema.foreign_keys):
+        child, listed = tables.get(name), []
+        for fk in schema.foreign_keys_of(name):
+            parent = tables.get(fk.parent_table)
+            if child is None or parent is None or fk.child_col not in child.columns or fk.parent_col not in parent.columns:
+                odd.append(report_fk(fk, tables))
+                continue
+            asked, key = comparable(child, fk.child_col, parent, fk.parent_col)
+            listed.append(F.struct(F.lit(fk.label).alias("fk"), asked.cast("string").alias("_child")))
+            given.append(valid_keys(parent, key).select(F.lit(fk.label).alias("_fk"), F.col("_key").cast("string").alias("_key")))
+        if listed:
+            counted.append(child.select(F.inline(F.array(*listed))).groupBy("fk", "_child").agg(F.count(F.lit(1)).alias("_n")))
+    if not counted:
+        return union_all(odd)
+    keys = union_all(given)
+    matched = union_all(counted).join(keys, (F.col("fk") == F.col("_fk")) & (F.col("_child") == F.col("_key")), "left")
+    found = (matched.groupBy("fk").agg(F.sum("_n").alias("total_rows"), F.sum(F.when(F.col("_key").isNull(), F.col("_n")).otherwise(0)).alias("violations")))
+    labels = SparkSession.active().createDataFrame([(fk.label,) for fk in schema.foreign_keys], "fk string")
+    if odd:
+        labels = labels.join(union_all(odd).select("fk"), "fk", "left_anti")
+    whole = (labels.join(found, "fk", "left").na.fill(0, ["total_rows", "violations"])
+             .withColumn("violation_rate", F.col("violations") / F.greatest("total_rows", F.lit(1))))
+    return union_all([whole, *odd])
 
 
 def overall_consistency(reports: DataFrame) -> DataFrame:
@@ -151,12 +178,17 @@ def repair_all(schema: RelationalSchema, tables: Mapping[str, DataFrame], row_id
     """Check and repair until no constraint is violated: (tables, rounds used).
 
     Repairs go parents first and each repaired table is materialised, so one round suffices unless
-    a repaired key is itself referenced.
+    a repaired key is itself referenced.  A round that changes nothing, as with an empty parent, is the
+    last one; a warning names what is left.
     """
     tables = dict(tables)
     rank = {t: i for i, t in enumerate(schema.topological_order())}
+    before, iteration = None, -1
     for iteration in range(max_iterations):
-        failing = {r["fk"] for r in fk_report_all(schema, tables).filter("violations > 0").collect()}
+        failing = {r["fk"]: r["violations"] for r in fk_report_all(schema, tables).filter("violations > 0").collect()}
+        if failing and failing == before:
+            break
+        before = failing
         todo = [fk for fk in schema.foreign_keys if fk.label in failing
                 and fk.child_col in tables[fk.child_table].columns
                 and fk.parent_col in tables[fk.parent_table].columns]
@@ -170,4 +202,9 @@ def repair_all(schema: RelationalSchema, tables: Mapping[str, DataFrame], row_id
                 tables[fk.child_table], fk.child_col, tables[fk.parent_table], fk.parent_col,
                 row_ids[fk.child_table], Draws(f"{draws.seed}/{iteration}", draws.generator), method,
                 fk.label, exclude))
-    return tables, max_iterations
+    else:
+        iteration += 1
+        before = {r["fk"]: r["violations"] for r in fk_report_all(schema, tables).filter("violations > 0").collect()}
+    if before:
+        warnings.warn(f"violations left after {iteration} rounds: {before}", stacklevel=2)
+    return tables, iteration

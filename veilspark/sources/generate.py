@@ -102,15 +102,10 @@ Spec = dict[str, TableSpec]
 
 def spec_schema(spec: Spec) -> RelationalSchema:
     """Relational schema that a spec implies: roles, primary keys and foreign keys."""
-    schema = RelationalSchema()
-    for name, t in spec.items():
-        pk = next((c for c, s in t.columns.items() if s.is_key), None)
-        schema.add_table(Table(name, tuple(t.columns), {c: s.role for c, s in t.columns.items()}, pk))
-    for name, t in spec.items():
-        for column, s in t.columns.items():
-            if s.parent:
-                schema.add_foreign_key(ForeignKey(name, s.parent[0], column, s.parent[1]))
-    return schema
+    tables = {name: Table(name, tuple(t.columns), {c: s.role for c, s in t.columns.items()},
+                          next((c for c, s in t.columns.items() if s.is_key), None)) for name, t in spec.items()}
+    return RelationalSchema(tables, tuple(ForeignKey(name, s.parent[0], column, s.parent[1])
+                                          for name, t in spec.items() for column, s in t.columns.items() if s.parent))
 
 
 def scaled(spec: Spec, factor: float) -> Spec:
