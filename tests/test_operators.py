@@ -305,3 +305,9 @@ def test_chain_join_renames_and_target(spark):
     assert joined.columns == ["k", "v", "v_b"] and joined.count() == 2
     wide = spark.range(100).select("id", (F.col("id") % 3).alias("y"), (F.col("id") % 30).alias("w"))
     assert pick_target(wide) == "y"
+
+
+def test_split_does_not_depend_on_buckets(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 < 2, "a").when(F.col("id") == 5, "b").otherwise(None).alias("label"))
+    one, many = (stratified_split(df, "label", "id", D, 0.3, n) for n in (10**9, 50))
+    assert one.exceptAll(many).isEmpty() and many.count() == 3000

@@ -127,9 +127,9 @@ class ColumnCodec:
             missing = top  # null joins NaN in the top bin, or has a code of its own
         else:
             text = F.col(self.name).cast("string")
-            found = F.array_position(F.array(*[F.lit(v) for v in self.values]).cast("array<string>"), text)
-            other = len(self.values) if self.capped else 0
-            code = F.when(found > 0, found - 1).when(text.isNotNull(), other)
+            other = F.lit(len(self.values) if self.capped else 0)
+            known = F.create_map(*[x for i, v in enumerate(self.values) for x in (F.lit(v), F.lit(i))]) if self.values else None
+            code = F.when(text.isNotNull(), F.coalesce(known[text], other) if self.values else other)
             missing = top if self.null_code or self.capped else 0
         return F.coalesce(code, F.lit(missing)).cast("int")
 

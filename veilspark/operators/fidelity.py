@@ -120,17 +120,20 @@ def tv_numeric(real: DataFrame, syn: DataFrame, columns: Sequence[str], num_bins
                                   for f in (F.min, F.max)]).first()
 
     def binned(df, side):
-        pairs = []
+        """Counts of (column, bin): one whole number per value until they are summed."""
+        cells = []
         for i, c in enumerate(columns):
             lo, hi = ends[f"min_{i}"], ends[f"max_{i}"]
             if lo is None:
                 continue
             x = F.col(c)
             # least() skips nulls, so missing values have to be kept out first
-            code = F.when(x.isNotNull(), F.least(F.floor((x - lo) / (hi - lo) * num_bins), F.lit(num_bins - 1))
-                          if hi > lo else 0)
-            pairs.append(F.struct(F.lit(c).alias("column_name"), code.cast("string").alias("value")))
-        return _long_counts(df, pairs, side)
+            code = F.least(F.floor((x - lo) / (hi - lo) * num_bins), F.lit(num_bins - 1)) if hi > lo else F.lit(0)
+            cells.append(F.when(x.isNotNull(), code.cast("bigint") + i * num_bins))
+        counted = (df.select(F.explode(F.array(*cells).cast("array<bigint>")).alias("_cell")).filter("_cell is not null")
+                   .groupBy("_cell").agg(F.count(F.lit(1)).alias("n")))
+        name = F.element_at(F.array(*[F.lit(c) for c in columns]), (F.floor(F.col("_cell") / num_bins) + 1).cast("int"))
+        return counted.select(name.alias("column_name"), F.col("_cell").cast("string").alias("value"), "n", F.lit(side).alias("side"))
     return _tv(binned(r, "r"), binned(s, "s"), columns)
 
 

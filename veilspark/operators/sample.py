@@ -159,23 +159,27 @@ def cap_rows(df: DataFrame, limit: int, draws: Draws, *row_id: str) -> DataFrame
 
 
 def stratified_split(df: DataFrame, label: str, row_id: str, draws: Draws, test_fraction: float = 0.3,
-                     buckets: int = 1024) -> DataFrame:
+                     bucket_rows: int = 100_000) -> DataFrame:
     """Add ``is_test``: of every label, the given share of rows (rounded) by smallest draw.
 
-    The draw is uniform, so its leading part is a perfectly even bucket: rows are ranked inside
-    (label, bucket) and shifted by the bucket's start, so a label with a third of the rows is
-    still ranked by many tasks.  A label with a single row goes to training.
+    The draw is uniform, so its leading part is an even bucket of about ``bucket_rows`` rows.  Counts per
+    (label, bucket) tell the bucket in which a label's threshold falls: rows of earlier buckets are test
+    rows, rows of later ones are not, and only that one bucket is ranked.  A label with a single row goes
+    to training.
     """
+    buckets = max(1, df.count() // bucket_rows)
     u = draws.uniform("split", F.col(row_id))
-    tagged = df.withColumn("_u", u).withColumn("_one", F.lit(1)).withColumn("_b", F.floor(F.col("_u") * buckets))
-    starts_by = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per = tagged.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    per = (per.withColumn("_start", F.coalesce(F.sum("_c").over(starts_by), F.lit(0)))
-           .withColumn("_size", F.sum("_c").over(Window.partitionBy(label)))
-           .select(F.col(label).alias("_l"), F.col("_b").alias("_bb"), "_start", "_size"))
-    inner = Window.partitionBy(label, "_b").orderBy("_u", row_id)
-    ranked = tagged.withColumn("_r", F.row_number().over(inner))
-    joined = ranked.join(per, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_bb")))
-    wanted = F.round(F.col("_size") * test_fraction)
-    return (joined.withColumn("is_test", (F.col("_size") > 1) & (F.col("_start") + F.col("_r") <= wanted))
-            .drop("_u", "_one", "_b", "_bb", "_l", "_start", "_size", "_r"))
+    tagged = df.withColumn("_u", u).withColumn("_b", F.floor(F.col("_u") * buckets))
+    upto = Window.partitionBy("_l").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    per = (tagged.groupBy(F.col(label).alias("_l"), "_b").agg(F.count(F.lit(1)).alias("_c"))
+           .withColumn("_upto", F.sum("_c").over(upto)).withColumn("_size", F.sum("_c").over(Window.partitionBy("_l")))
+           .withColumn("_wanted", F.when(F.col("_size") > 1, F.round(F.col("_size") * test_fraction)).otherwise(0)))
+    # the first bucket that reaches past the wanted rows, if any, and how many of its rows are wanted
+    edge = F.min(F.when(F.col("_upto") > F.col("_wanted"), F.struct("_b", (F.col("_wanted") - F.col("_upto") + F.col("_c")).alias("_left"))))
+    edges = per.groupBy("_l").agg(edge.alias("_edge"))
+    joined = tagged.join(edges, F.col(label).eqNullSafe(F.col("_l")), "left")
+    inside = F.col("_b") == F.col("_edge._b")
+    sure = joined.filter(~F.coalesce(inside, F.lit(False))).withColumn("is_test", F.coalesce(F.col("_b") < F.col("_edge._b"), F.lit(True)))
+    ranked = joined.filter(inside).withColumn("is_test", F.row_number().over(
+        Window.partitionBy(label, "_b").orderBy("_u", row_id)) <= F.col("_edge._left"))
+    return sure.unionByName(ranked).drop("_u", "_b", "_l", "_edge")
