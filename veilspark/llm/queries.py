@@ -55,7 +55,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .select("doc_id", F.when(F.col("toxic") == 1, "delete").when(F.col("quality") == 0, "revise").alias("op"))
                 .filter("op IS NOT NULL"))
     cleaned = docs.withColumn("text", F.regexp_replace("text", r"[#*$%&|<>!]+", " "))
-    changes = cleaned.join(verdicts, "doc_id").select("op", "doc_id", "text", "source", "lang")
+    changes = cleaned.join(verdicts.hint("merge"), "doc_id").select("op", "doc_id", "text", "source", "lang")
     for _ in range(2):
         rollup.commit("2-review", changes)
     return rollup.totals()
