@@ -161,10 +161,10 @@ def split_maxmin(stats: DataFrame, workload: DataFrame, eps_total: float, eps_mi
     best allocation met is kept, beginning with the equal split.  Falls back to the analytical
     split if there is no usable query or the log has too many distinct table sets.
     """
-    sets = [r for r in compact_workload(workload, stats).filter(F.col("weight") > 0)
+    sets = [r for r in compact_workload(workload, stats).filter((F.col("weight") > 0) & (F.size("tables") > 0))
             .limit(MAX_TABLE_SETS + 1).collect()]
     names = [r["table_name"] for r in stats.select("table_name", "ordinal").orderBy("ordinal").collect()]
-    if not sets or len(sets) > MAX_TABLE_SETS or any(not r["tables"] for r in sets):
+    if not sets or len(sets) > MAX_TABLE_SETS:
         return split_analytical(stats, workload, eps_total, eps_min)
     best = maxmin_rounds(names, [(r["tables"], r["weight"]) for r in sets], eps_total, eps_min, rounds)
     alloc = stats.sparkSession.createDataFrame(
