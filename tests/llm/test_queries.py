@@ -227,3 +227,14 @@ def test_pipeline(spark, rows, labels):
         windows |= {tuple(w[j:j + 10]) for j in range(len(w) - 9)}
     assert not any(tuple(w[j:j + 10]) in windows for w in texts.values() for j in range(len(w) - 9))
     assert all(r["copies"] in (1, 2) and r["taken"] == r["copies"] * len(r["text"].encode().split()) for r in got)
+
+
+def test_components(spark):
+    from veilspark.llm.components import components, merged
+    chain, star, more = [(i, i + 1) for i in range(60)], [(100, i) for i in range(101, 200)], [(5, 150), (310, 500)]
+    links = spark.createDataFrame(chain + star, "a long, b long")
+    roots = components(links)
+    assert {r["node"]: r["root"] for r in roots.collect()} == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 200), 100)}
+    joined = {r["node"]: r["root"] for r in merged(roots, spark.createDataFrame(more, "a long, b long")).collect()}
+    assert joined == {**dict.fromkeys([*range(61), *range(100, 200)], 0), 310: 310, 500: 310}
+    assert components(links.limit(0)).isEmpty()
