@@ -67,8 +67,9 @@ OTHERS = (
 )
 # The phrases of the base and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-KEYWORDS = ("licen", "gpl", "bsd", "cc0", "creative commons", "wtfpl", "mpl", "cddl", "eupl", "openrail", "asl 2.0",
-            "permission", "redistribution", "public domain", "rights reserved", "proprietary", "unencumbered", "spdx")
+# One word, or part of one, of every signature: words are joined by any separators, so a keyword never has two.
+KEYWORDS = ("licen", "gpl", "bsd", "cc0", "commons", "wtfpl", "mpl", "cddl", "eupl", "openrail", "asl",
+            "permission", "redistribution", "domain", "reserved", "proprietary", "unencumbered", "spdx")
 GLUE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
