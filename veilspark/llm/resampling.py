@@ -1,7 +1,7 @@
 """Quality classifier by importance resampling: target against raw hashed n-gram models, Gumbel top-k.
 
-Texts become grams: words, ASCII punctuation marks and a mark for a word that repeats the one before
-it, hashed into buckets.  The raw model counts the grams of all documents; the target model those of
+Texts become grams: words, pairs of neighbouring words, ASCII punctuation marks and a mark for a word
+that repeats the one before it, hashed into buckets.  The raw model counts the grams of all documents; the target model those of
 documents labelled good.  A gram's log ratio is shrunk towards 0 where the target has little to say
 (``PRIOR`` pseudo-counts) and grams without clear evidence count as 0.  A first round drops what is far
 from the target; the raw model is then counted anew over the rest, so that frequent junk no longer
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from veilspark.functions.scaling import cut
 
 from .columns import document_key
-from .words import blocks, hash_words, raw_texts
+from .words import blocks, hash_words, mix64, raw_texts
 
 BITS = 20
 BUCKETS = (1 << BITS) + 129
@@ -51,13 +51,15 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of every gram and the text it belongs to."""
     hashes, counts = hash_words(texts)
     owner = np.repeat(np.arange(len(texts)), counts)
-    again = np.flatnonzero((hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1]))
+    pairs = np.flatnonzero(owner[1:] == owner[:-1])
+    bigrams = mix64(hashes[pairs] * np.uint64(0xD6E8FEB86659FD93) + hashes[pairs + 1])
+    again = pairs[hashes[pairs + 1] == hashes[pairs]]
     data = np.frombuffer(b"".join(texts), np.uint8)
     marks = np.flatnonzero(MARKS[data])
     whose = np.searchsorted(np.cumsum([len(t) for t in texts]), marks, side="right")
-    found = np.concatenate(((hashes >> np.uint64(64 - BITS)).astype(np.int64), np.full(len(again), BUCKETS - 1),
+    found = np.concatenate(((hashes >> np.uint64(64 - BITS)).astype(np.int64), (bigrams >> np.uint64(64 - BITS)).astype(np.int64), np.full(len(again), BUCKETS - 1),
                             (1 << BITS) + data[marks].astype(np.int64)))
-    return found, np.concatenate((owner, owner[again], whose))
+    return found, np.concatenate((owner, owner[pairs], owner[again], whose))
 
 
 def count_grams(docs: DataFrame, first: Broadcast | None) -> np.ndarray:
