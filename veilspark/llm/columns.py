@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions.scaling import cut
+
 SPACE = r"[\x20\x09-\x0D]+"
 TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 """Words of letters, digits and non-ASCII characters, for texts whose A-Z are not lower-cased yet."""
@@ -43,3 +45,15 @@ def document_key(id_column: str = "doc_id", text_column: str = "text") -> Column
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
     return F.struct(F.col(id_column).alias("id"), F.xxhash64(text).alias("th"))
+
+
+def hot_join(rows: DataFrame, keyed: DataFrame, key: str, shares: int = 256) -> DataFrame:
+    """Left join with a frame of one row per key, where a few keys may hold most rows.
+
+    Keys with more than a 1/shares part of all rows are fewer than ``shares``, so their rows of ``keyed``
+    are broadcast; all other keys are small and meet by shuffle.  Both frames are read twice: pass
+    materialised ones.  A null key finds nothing.
+    """
+    least = rows.count() // shares
+    hot = F.broadcast(cut(keyed.join(F.broadcast(rows.groupBy(key).count().filter(F.col("count") > least).select(key)), key)))
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(keyed, key, "left"))
