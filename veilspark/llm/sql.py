@@ -115,3 +115,68 @@ ks AS (SELECT rid, max(priority) AS best FROM k GROUP BY rid)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(bs.n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
        coalesce(bs.ls, '') AS base_labels, coalesce(al.ls, '') AS labels, coalesce(best / 10, 0.0)::DOUBLE AS score
 FROM d LEFT JOIN bs USING (rid) LEFT JOIN al USING (rid) LEFT JOIN ks USING (rid)"""
+
+
+CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
+                                                lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))) AS of)"""
+
+
+def crc32(text: str) -> str:
+    """CRC-32 of a text of code points up to U+00FF, with the table ``crc`` at hand."""
+    octets = (f"flatten(list_transform(string_split({text}, ''), lambda x: "
+              "CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)]::BIGINT[] END))")
+    return (f"xor(list_reduce(list_prepend(4294967295, {octets}), "
+            "lambda c, b: xor(c >> 8, crc.of[(xor(c, b) & 255) + 1])), 4294967295)")
+
+
+def conversation_repair() -> str:
+    """All cheapest repairs by state, with their whole audits and texts, row after row."""
+    def edit(state: int, letter: str, cost: str, added: str = "''", only: str = "true") -> str:
+        return (f"{{'c': q[{state + 1}].c + {cost} + CASE WHEN {only} THEN 0 ELSE 1000000 END, 'a': q[{state + 1}].a || '{letter}', "
+                f"'t': q[{state + 1}].t || {added}}}")
+
+    def least(edits: list[str]) -> str:
+        return f"list_min([{', '.join(edits)}])"
+
+    message = "chr(10) || {} || ':' || text"
+    free, extra = "(fault IS NULL OR fault = 'truncated')", "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+    taken = []
+    for state in range(4):
+        edits = [edit(state, "D", "2")]
+        edits += [edit(s, "K", extra, message.format("role"), f"{free} AND left(role, 1) = '{initial}'")
+                  for s, initial, to in ((0, "s", 1), (0, "u", 2), (1, "u", 2), (3, "u", 2), (2, "a", 3)) if to == state]
+        edits += [edit(s, "R", f"1 + {extra}", message.format(f"'{role}'"), free)
+                  for s, role, to in ((0, "user", 2), (1, "user", 2), (3, "user", 2), (2, "assistant", 3)) if to == state]
+        taken.append(least(edits))
+    user = least(["q[3]", *(edit(s, "I", "5", "chr(10) || 'user:'") for s in (0, 1, 3))])
+    assistant = least(["q[4]", edit(2, "I", "5", "chr(10) || 'assistant:'")])
+    return rf"""
+WITH RECURSIVE {CRC_TABLE},
+k AS (SELECT row_number() OVER () AS rid, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+h AS (SELECT k.*, {crc32("key")} % 20 AS f FROM k, crc),
+d AS (SELECT rid, conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+             CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS nth FROM h),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, rid, nth) AS rn,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, rid, nth) AS seen FROM d),
+r AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+                     WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' END AS fault,
+             lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY rn) || left(role, 1) AS pair FROM n),
+walk AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS rn, [{{'c': 0, 'a': '', 't': ''}}, {{'c': 1000000, 'a': '', 't': ''}},
+         {{'c': 5, 'a': 'I', 't': chr(10) || 'user:'}}, {{'c': 10, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}}] AS q
+  FROM conversations
+  UNION ALL
+  SELECT conv_id, rn, [q[1], q[2], q[3], {assistant}] AS q FROM (
+    SELECT conv_id, rn, [q[1], q[2], {user}, q[4]] AS q FROM (
+      SELECT walk.conv_id, r.rn, [{", ".join(taken)}] AS q
+      FROM walk JOIN r ON r.conv_id IS NOT DISTINCT FROM walk.conv_id AND r.rn = walk.rn + 1))),
+e AS (SELECT conv_id, list_min([q[1], q[4]]) AS x FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY rn DESC) = 1),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count_if(fault = 'blank')::BIGINT AS blank,
+             count_if(fault = 'duplicate')::BIGINT AS duplicate, count_if(fault = 'truncated')::BIGINT AS truncated,
+             count_if(pair NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal FROM r GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, x.c::BIGINT AS cost, x.a AS audit,
+       sha256(x.t[2:]) AS repaired_sha256
+FROM e LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM e.conv_id"""
