@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.scaling import checkpoint_dir
 
-from . import balance, chained_dedup, conversation_repair, decontaminate, jaccard_join, language_id, license_scan, ngram_trie, quality_rules, resampling, simhash, sql, token_rollups
+from . import balance, chained_dedup, conversation_repair, decontaminate, jaccard_join, language_id, license_scan, ngram_trie, quality_rules, resampling, simhash, spelling, sql, token_rollups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -92,10 +92,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.report(conversation_repair.damaged(rows), of=rows)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_quality_rules, op2_decontamination, op3_lm_scoring, op4_quality_classifier, op5_jaccard_join, op6_token_counts, op7_language_id, op8_substring_dedup, op9_license_scan, op10_entropy_balance,
-    op11_simhash_dedup, op12_conversation_repair)}
+    op11_simhash_dedup, op12_conversation_repair, op13_spelling_variants)}
 ORACLES: dict[str, str] = {"op1_quality_rules": sql.quality_rules(), "op2_decontamination": sql.decontamination(),
                            "op9_license_scan": sql.license_scan(),
                            "op10_entropy_balance": sql.entropy_balance(),
-                           "op12_conversation_repair": sql.conversation_repair()}
+                           "op12_conversation_repair": sql.conversation_repair(), "op13_spelling_variants": sql.spelling_variants()}

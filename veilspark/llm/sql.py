@@ -160,8 +160,10 @@ d AS (SELECT rid, conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS ro
              unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS nth FROM h),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, rid, nth) AS rn,
              row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, rid, nth) AS seen FROM d),
-r AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
-                     WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' END AS fault,
+r AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+                     WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' END AS fault,
              lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY rn) || left(role, 1) AS pair FROM n),
 walk AS (
   SELECT DISTINCT conv_id, 0::BIGINT AS rn, [{{'c': 0, 'a': '', 't': ''}}, {{'c': 1000000, 'a': '', 't': ''}},
@@ -180,3 +182,25 @@ SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
        coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, x.c::BIGINT AS cost, x.a AS audit,
        sha256(x.t[2:]) AS repaired_sha256
 FROM e LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
+def spelling_variants() -> str:
+    """Near words as words that agree once a letter of both, or of the longer one, is left out."""
+    return rf"""
+WITH RECURSIVE {CRC_TABLE},
+o AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+g AS (SELECT run, id || ':' || run AS key, count(*) AS k FROM o GROUP BY ALL),
+h AS (SELECT run, k, {crc32("key")} AS h FROM g, crc),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h),
+v AS (SELECT word, sum(k)::BIGINT AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+s AS (SELECT word, n, p, left(word, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM v)),
+x AS (SELECT a.word, b.word AS near, b.n AS near_n FROM s a JOIN s b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+      UNION (SELECT v.word, s.word, s.n FROM v JOIN s ON v.word = s.rest)
+      UNION (SELECT s.word, v.word, v.n FROM v JOIN s ON v.word = s.rest)),
+c AS (SELECT word, count(*) AS n_near FROM x GROUP BY word),
+b AS (SELECT word, near, near_n FROM x QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) = 1),
+f AS (SELECT v.word, v.n, CASE WHEN near_n >= 2 * v.n THEN near END AS form, CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n FROM v LEFT JOIN b USING (word)),
+r AS (SELECT word, word AS at, form AS next FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON f.word = r.next)
+SELECT f.word, form, r.at AS root, f.n, coalesce(n_near, 0)::BIGINT AS n_near, form_n
+FROM f JOIN r ON r.word = f.word AND r.next IS NULL LEFT JOIN c ON c.word = f.word"""
