@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.scaling import cut
+from .columns import written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,16 +17,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels stay partitioned by node, so a round shuffles only the minima and the jumps.
     """
     both = links.select(F.col(a).alias("x"), F.col(b).alias("y")).union(links.select(F.col(b), F.col(a)))
-    edges = cut(both.groupBy("y", "x").agg(F.lit(1).alias("one")).select("x", "y"))
-    labels = cut(edges.groupBy(F.col("y").alias("node")).agg(F.min("x").alias("x")).select("node", F.least("node", "x").alias("root")))
+    edges = written(both.groupBy("y", "x").agg(F.lit(1).alias("one")).select("x", "y"))
+    labels = written(edges.groupBy(F.col("y").alias("node")).agg(F.min("x").alias("x")).select("node", F.least("node", "x").alias("root")))
     while True:
         near = (edges.join(labels.withColumnsRenamed({"node": "y"}), "y").groupBy(F.col("x").alias("node"))
                 .agg(F.min("root").alias("near")))
-        closer = cut(labels.join(near, "node").select("node", F.least("root", "near").alias("via"), F.col("root").alias("old")))
+        closer = written(labels.join(near, "node").select("node", F.least("root", "near").alias("via"), F.col("root").alias("old")))
         if closer.filter(F.col("via") != F.col("old")).isEmpty():
             return closer.select("node", F.col("via").alias("root"))
         jumped = closer.join(closer.select(F.col("node").alias("via"), F.col("via").alias("far")), "via")
-        labels = cut(jumped.groupBy("node").agg(F.min("far").alias("root")))
+        labels = written(jumped.groupBy("node").agg(F.min("far").alias("root")))
 
 
 def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -37,4 +37,4 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     joined = components(between)
     known = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
     moved = known.select("node", F.coalesce("top", "root").alias("root"))
-    return cut(moved.union(joined.join(roots, "node", "left_anti")))
+    return written(moved.union(joined.join(roots, "node", "left_anti")))

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.scaling import cut
 
+from .columns import written
 from .words import LOWER, raw_texts
 
 RUN = re.compile("[a-zÀ-ÿ]+")
@@ -320,10 +321,10 @@ def near_words(words: DataFrame, sample: int = SAMPLE, cell: int = CELL, most: i
 
 def last_forms(forms: DataFrame) -> DataFrame:
     """(word, root): where following forms ends; the steps double with each round."""
-    up = cut(forms.select("word", F.col("form").alias("root")))
+    up = written(forms.select("word", F.col("form").alias("root")))
     while True:
         next_ = up.select(F.col("word").alias("root"), F.col("root").alias("far"))
-        up = cut(up.join(next_, "root", "left").select("word", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")))
+        up = written(up.join(next_, "root", "left").select("word", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")))
         if up.filter("moved").isEmpty():
             return up.select("word", "root")
         up = up.select("word", "root")
