@@ -97,15 +97,41 @@ def test_budgets_sum_and_stay_positive(spark, method):
     assert math.isclose(none, 2.0, abs_tol=1e-9)
 
 
-def test_maxmin_beats_equal_split():
-    names = ["a", "b", "c", "d"]
-    sets = [(["a"], 1.0), (["b"], 0.2), (["c", "d"], 1.0)]
-
-    def worst(alloc):
-        return min(sum(alloc[names.index(t)] for t in ts) / w for ts, w in sets)
-    alloc = B.maxmin_rounds(names, sets, 1.0, 0.01, 2000)
-    # optimum by hand: z (1 + 0.2 + 1) = 1
-    assert worst(alloc) > 0.93 / 2.2 > worst([0.25] * 4) and sum(alloc) <= 1 + 1e-9
+def table_sets(spark, rows):
+    return spark.createDataFrame(rows, "tables array<string>, weight double")
+
+
+def test_maxmin_of_disjoint_sets(spark):
+    """Disjoint sets share the total by their weights: z (1 + 0.2 + 1) = 1."""
+    sets = table_sets(spark, [(["a"], 1.0), (["b"], 0.2), (["c", "d"], 1.0)])
+    alloc, low, high = B.maxmin_allocation(sets, ["a", "b", "c", "d"], 1.0, 0.01)
+    assert low == pytest.approx(1 / 2.2, rel=1e-5) and low <= high <= low * (1 + 1e-5)
+    assert alloc == pytest.approx([1 / 2.2, 0.2 / 2.2, 0.5 / 2.2, 0.5 / 2.2], rel=1e-4)
+
+
+def test_maxmin_floors_bind(spark):
+    alloc, low, high = B.maxmin_allocation(table_sets(spark, [(["a"], 1.0)]), ["a", "b", "c"], 1.0, 0.2)
+    assert alloc == pytest.approx([0.6, 0.2, 0.2], rel=1e-4) and low == pytest.approx(0.6, rel=1e-5)
+
+
+def test_maxmin_of_overlapping_sets(spark):
+    """All pairs of four tables, and one table asked for alone: the optimum by hand is a = 2x, others x."""
+    pairs = [([a, b], 1.0) for a, b in itertools.combinations("abcd", 2)] + [(["a"], 1.0)]
+    alloc, low, _ = B.maxmin_allocation(table_sets(spark, pairs), list("abcd"), 1.0, 0.0)
+    assert low == pytest.approx(0.4, rel=1e-5) and alloc == pytest.approx([0.4, 0.2, 0.2, 0.2], rel=1e-3)
+
+
+def test_maxmin_of_very_many_sets(spark):
+    """200,000 distinct sets: within the tolerance of an upper bound, in few rounds, without another way beyond a size."""
+    names = [f"t{i}" for i in range(40)]
+    u = [F.pmod(F.xxhash64("id", F.lit(i)), F.lit(40)) for i in range(6)]
+    sets = (spark.range(230_000).select(F.array_sort(F.array_distinct(F.array(*[F.concat(F.lit("t"), x.cast("string")) for x in u]))).alias("tables"),
+                                        (0.5 + F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).alias("weight"))
+            .groupBy("tables").agg(F.max("weight").alias("weight")).cache())
+    assert sets.count() > 200_000
+    alloc, low, high = B.maxmin_allocation(sets, names, 1.0, 0.001)
+    assert sum(alloc) == pytest.approx(1) and min(alloc) >= 0.001 and 0 <= high - low <= 1e-6 * high
+    assert low > B.worst_served(sets, dict.fromkeys(names, 1 / 40), 1)[0]["served"]
 
 
 def test_unknown_names_are_errors(spark):

@@ -138,9 +138,17 @@ def budget_normalize(spark, sf_dir):
     return out(B.normalize(raw, EPS, FLOOR))
 
 
-@check()
+@check(f"""WITH {STATS}, {QLOG},
+known AS (SELECT list_intersect(tables, (SELECT list(table_name) FROM stats)) AS tables, weight FROM wlog),
+asked AS (SELECT tables[1] AS table_name, max(weight) AS w FROM known WHERE len(tables) = 1 GROUP BY 1),
+given AS (SELECT table_name, w, least({FLOOR}::DOUBLE, 0.9::DOUBLE * {EPS} / count(*) OVER ()) AS low FROM stats LEFT JOIN asked USING (table_name))
+SELECT table_name, round(CASE WHEN w IS NULL THEN low ELSE w * ({EPS} - sum(CASE WHEN w IS NULL THEN low ELSE 0 END) OVER ()) / sum(w) OVER () END, 4) AS eps
+FROM given""")
 def budget_maxmin(spark, sf_dir):
-    return out(B.split_maxmin(stats_frame(spark, sf_dir), query_log(spark, sf_dir), EPS, FLOOR))
+    """Every larger set of this log holds a table that is asked for alone with more weight, so the optimum shares
+    what the floors leave by those weights."""
+    split = B.split_maxmin(stats_frame(spark, sf_dir), query_log(spark, sf_dir), EPS, FLOOR)
+    return split.select("table_name", F.round("eps", 4).alias("eps"))
 
 
 @check(f"""WITH {STATS}, {QLOG}, {INVOLVED}, {ANALYTICAL}

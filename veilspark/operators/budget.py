@@ -12,20 +12,23 @@ Frames:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import warnings
+from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.draws import Draws, choice_draw
+from ..functions.scaling import cut
 from ..schema import RelationalSchema
 
 QUERY_TYPES = ("1way", "2way", "cross_table")
 # Renyi orders.
 RDP_ORDERS = (1.5, 2.0, 3.0, 5.0, 10.0, 25.0, 50.0, 100.0)
-MAX_TABLE_SETS = 50_000
+WORST_SETS = 32
+"""Table sets that a round of the max-min play brings back."""
 
 
 def table_stats(spark: SparkSession, schema: RelationalSchema, sizes: DataFrame | None = None) -> DataFrame:
@@ -153,54 +156,102 @@ def compact_workload(workload: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def split_maxmin(stats: DataFrame, workload: DataFrame, eps_total: float, eps_min: float = 0.05,
-                 rounds: int = 2000) -> DataFrame:
+                 tolerance: float = 1e-6) -> DataFrame:
     """Maximise the smallest (budget of a query's tables / query weight).
 
-    The log is compacted on the cluster; the remaining game between table sets and tables has one
-    row per table set and is played for a bounded number of multiplicative-weights rounds.  The
-    best allocation met is kept, beginning with the equal split.  Falls back to the analytical
-    split if there is no usable query or the log has too many distinct table sets.
+    The best answer is within ``tolerance`` of the optimum; see ``maxmin_allocation``.  Falls back to the
+    analytical split if there is no usable query.
     """
-    sets = [r for r in compact_workload(workload, stats).filter((F.col("weight") > 0) & (F.size("tables") > 0))
-            .limit(MAX_TABLE_SETS + 1).collect()]
-    names = [r["table_name"] for r in stats.select("table_name", "ordinal").orderBy("ordinal").collect()]
-    if not sets or len(sets) > MAX_TABLE_SETS:
+    sets = cut(compact_workload(workload, stats).filter((F.col("weight") > 0) & (F.size("tables") > 0)))
+    if sets.isEmpty():
         return split_analytical(stats, workload, eps_total, eps_min)
-    best = maxmin_rounds(names, [(r["tables"], r["weight"]) for r in sets], eps_total, eps_min, rounds)
+    names = [r["table_name"] for r in stats.select("table_name", "ordinal").orderBy("ordinal").collect()]
+    best, _, _ = maxmin_allocation(sets, names, eps_total, eps_min, tolerance)
     alloc = stats.sparkSession.createDataFrame(
         [(t, float(e)) for t, e in zip(names, best)], "table_name string, eps double")
     return normalize(alloc, eps_total, eps_min)
 
 
-def maxmin_rounds(names: Sequence[str], sets: Sequence[tuple[Sequence[str], float]], eps_total: float,
-                  eps_min: float, rounds: int) -> np.ndarray:
-    """Bounded multiplicative-weights rounds over the free budget above the floors.
+def worst_served(sets: DataFrame, alloc: Mapping[str, float], n: int) -> list[Row]:
+    """The n table sets that an allocation serves worst for their weight, of any number of sets: each task
+    keeps its own n worst and only those are merged."""
+    given = F.create_map(*[x for t, e in alloc.items() for x in (F.lit(t), F.lit(float(e)))])
+    budget = F.aggregate("tables", F.lit(0.0), lambda total, t: total + given[t])
+    return (sets.select("tables", "weight", (budget / F.col("weight")).alias("served"))
+            .orderBy("served", "tables").limit(n).collect())
+
 
-    The worse a table set is served, the more weight it gets; every table's share grows by the
-    factor that the weight of its sets commands.  Steps shrink and the focus on the worst sets
-    sharpens round by round; the best allocation met is returned.
+def maxmin_allocation(sets: DataFrame, names: Sequence[str], eps_total: float, eps_min: float = 0.05,
+                      tolerance: float = 1e-6, worst: int = WORST_SETS, rounds: int = 200) -> tuple[np.ndarray, float, float]:
+    """(allocation, its smallest share, an upper bound on any allocation's smallest share).
+
+    A play of rounds between an allocation and the table sets, which stay on the cluster: each round ranks all
+    sets under the present allocation and brings back the ``worst`` served ones; the allocation answers with the
+    best split for all sets met so far.  That answer bounds every allocation from above, the worst set of all
+    bounds it from below, and the play ends when the two meet to a part of ``tolerance``.  A set that is met
+    is served at least as well from then on, so the driver holds at most ``rounds * worst`` sets (some dozens as
+    a rule), however long the log is.
     """
     at = {t: i for i, t in enumerate(names)}
-    member = np.zeros((len(sets), len(names)))
-    for q, (tables, w) in enumerate(sets):
-        member[q, [at[t] for t in tables]] = 1.0 / w
     floor = min(eps_min, 0.9 * eps_total / len(names))
-    free = eps_total - floor * len(names)
-    share = np.full(len(names), 1.0 / len(names))
-    best, best_z = np.full(len(names), eps_total / len(names)), -np.inf
-    for r in range(rounds + 1):
-        alloc = floor + free * share if r else best
-        served = member @ alloc
-        z = served.min()
-        if z > best_z:
-            best, best_z = alloc.copy(), z
-        sharp = (4.0 + 0.2 * r) / max(z, 1e-12)
-        weight = np.exp(-sharp * (served - z))
-        pull = weight @ member
-        share = share * np.exp(0.5 / np.sqrt(1.0 + r) * pull / pull.max())
-        share = np.maximum(share / share.sum(), 1e-12)
-        share /= share.sum()
-    return best
+    alloc = np.full(len(names), eps_total / len(names))
+    best, low, high, met = alloc, -np.inf, np.inf, {}
+    for _ in range(rounds):
+        found = worst_served(sets, dict(zip(names, alloc.tolist())), worst)
+        if found[0]["served"] > low:
+            best, low = alloc, found[0]["served"]
+        new = {tuple(r["tables"]): r["weight"] for r in found if tuple(r["tables"]) not in met}
+        if not new or (np.isfinite(high) and high - low <= tolerance * high):
+            return best, low, high
+        met |= new
+        member = np.zeros((len(met), len(names)))
+        for q, tables in enumerate(met):
+            member[q, [at[t] for t in tables]] = 1.0
+        alloc, bound = best_answer(member, np.array(list(met.values())), eps_total, floor, 0.1 * tolerance)
+        high = min(high, bound)
+    warnings.warn(f"max-min split ended after {rounds} rounds between {low} and {high}", stacklevel=2)
+    return best, low, high
+
+
+def best_answer(member: np.ndarray, weight: np.ndarray, total: float, floor: float, tolerance: float) -> tuple[np.ndarray, float]:
+    """The allocation whose worst of a few table sets is served best, and a bound on what any can reach.
+
+    Newton steps on the logarithmic barrier of the sets' and floors' slacks, along allocations of one total;
+    with weight t on the worst share, the barrier's minimum is within (number of slacks) / t of the optimum.
+    The central one of all best allocations is found, so equal tables of one set get equal budgets.
+    """
+    n_sets, n = member.shape
+    unit = weight.max()
+    rows = np.vstack([np.hstack([member, -(weight / unit)[:, None]]), np.hstack([np.eye(n), np.zeros((n, 1))])])
+    least = np.concatenate((np.zeros(n_sets), np.full(n, floor / total)))
+    x = np.full(n + 1, 1.0 / n)
+    x[n] = 0.9 * (member @ x[:n] / (weight / unit)).min()
+    along = np.append(np.ones(n), 0.0)
+    press = 1.0
+    while True:
+        for _ in range(100):
+            slack = rows @ x - least
+            slope = -rows.T @ (1.0 / slack)
+            slope[n] -= press
+            curve = (rows / slack[:, None] ** 2).T @ rows
+            unit_step = 1.0 / np.sqrt(np.diag(curve))
+            held = (along * unit_step / np.linalg.norm(along * unit_step))[:, None]
+            system = np.block([[curve * np.outer(unit_step, unit_step), held], [held.T, np.zeros((1, 1))]])
+            step = unit_step * np.linalg.lstsq(system, np.append(-slope * unit_step, 0.0), rcond=None)[0][:n + 1]
+            gain = -slope @ step
+            if gain < 1e-9:
+                break
+            change, size = rows @ step, 1.0
+            if (change < 0).any():
+                size = min(1.0, 0.99 * (slack[change < 0] / -change[change < 0]).min())
+            value = -press * x[n] - np.log(slack).sum()
+            while size > 1e-12 and -press * (x[n] + size * step[n]) - np.log(slack + size * change).sum() > value - 1e-4 * size * gain:
+                size /= 2
+            x = x + size * step
+        gap = len(rows) / press
+        if gap <= tolerance * x[n]:
+            return x[:n] * total, (x[n] + gap) * total / unit
+        press *= 10
 
 
 def allocate(method: str, stats: DataFrame, workload: DataFrame | None, eps_total: float,
