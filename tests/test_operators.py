@@ -19,7 +19,7 @@ from veilspark.operators.encode import fit_codec
 from veilspark.operators.fidelity import kway_error, tv_categorical, tv_numeric
 from veilspark.operators.integrity import fk_report, repair_foreign_key
 from veilspark.operators.model import fit_table
-from veilspark.operators.nearest import nearest_parents
+from veilspark.operators.nearest import cell_tree, nearest_parents
 from veilspark.operators.sample import bootstrap, draw_keys, sample_table, stratified_split
 from veilspark.operators.utility import chain_join, pick_target
 from veilspark.schema import ForeignKey, parse_schema
@@ -285,6 +285,25 @@ def test_nearest_is_exact(spark, shape, k):
         assert [pid for _, pid in sorted(got[cid])] == [pid for _, pid in want]
 
 
+@pytest.mark.parametrize("features", [1, 2, 3])
+def test_candidates_stay_few_as_parents_grow(spark, features):
+    """Ten times the parents, the same number of candidates per child, for children inside, at the rim and far outside."""
+    met = {}
+    fs = [f"_f{i}" for i in range(features)]
+    rng = np.random.default_rng(7)
+    kids = np.vstack([rng.random((200, features)), 1.5 + rng.random((100, features)), np.full((50, features), 30.0)])
+    for n in (3_000, 30_000):
+        points = rng.random((n, features))
+        folks = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(points)], ", ".join(["parent_id long", *(f"{f} double" for f in fs)])).cache()
+        tree, placed, count = cell_tree(folks, fs)
+        rows, cells = tree.reach(kids, 1)
+        met[n] = tree.count[-cells - 1].sum() / len(kids)
+        home = tree.place(points)
+        exact = ((kids[:, None] - points[None]) ** 2).sum(axis=2).argmin(axis=1)
+        assert count == n and all(home[j] in cells[rows == i] for i, j in enumerate(exact))
+    assert met[30_000] < 2.5 * met[3_000] and met[30_000] < 1_500, met
+
+
 def test_matching_is_optimal():
     rng = np.random.default_rng(0)
     for n, m in ((4, 6), (5, 5), (1, 3)):

@@ -164,6 +164,50 @@ def nearest_five(spark, sf_dir):
     return near.select("s_suppkey", F.col("parent_id").alias("c_custkey"), r6("distance").alias("distance"), "rank")
 
 
+def nearest_sql(children: str, parents: str, features: list[str]) -> str:
+    """(child, parent, distance) by comparing every child with every parent."""
+    d = " + ".join(f"(a.{f} - b.{f}) * (a.{f} - b.{f})" for f in features)
+    return f"""WITH a AS ({children}), b AS ({parents}), p AS (SELECT child, parent, {d} AS d FROM a, b)
+SELECT child, arg_min(parent, (d, parent)) AS parent, {q6('sqrt(min(d))')} AS distance FROM p GROUP BY child"""
+
+
+def nearest_one(children, parents, features):
+    found = nearest_parents(children, "child", parents, "parent", features)
+    return found.select("child", F.col("parent_id").alias("parent"), r6("distance").alias("distance"))
+
+
+@check(nearest_sql("SELECT c_custkey AS child, c_acctbal * 10 + 50000 AS x, c_nationkey - 100.0::DOUBLE AS y FROM customer",
+                   "SELECT p_partkey AS parent, p_retailprice AS x, p_size::DOUBLE AS y FROM part", ["x", "y"]))
+def nearest_outside(spark, sf_dir):
+    """Children that lie far outside the range of all parents."""
+    return nearest_one(
+        table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("child"), (F.col("c_acctbal") * 10 + 50000).alias("x"),
+                                                (F.col("c_nationkey") - 100.0).alias("y")),
+        table(spark, sf_dir, "part").select(F.col("p_partkey").alias("parent"), F.col("p_retailprice").alias("x"),
+                                            F.col("p_size").cast("double").alias("y")), ["x", "y"])
+
+
+@check(nearest_sql("SELECT c_custkey AS child, c_acctbal / 10 + 900 AS x, c_nationkey * 2.0::DOUBLE AS y, (c_custkey % 977)::DOUBLE AS z FROM customer",
+                   "SELECT p_partkey AS parent, p_retailprice AS x, p_size::DOUBLE AS y, (p_partkey % 911)::DOUBLE AS z FROM part", ["x", "y", "z"]))
+def nearest_three_features(spark, sf_dir):
+    return nearest_one(
+        table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("child"), (F.col("c_acctbal") / 10 + 900).alias("x"),
+                                                (F.col("c_nationkey") * 2.0).alias("y"), (F.col("c_custkey") % 977).cast("double").alias("z")),
+        table(spark, sf_dir, "part").select(F.col("p_partkey").alias("parent"), F.col("p_retailprice").alias("x"),
+                                            F.col("p_size").cast("double").alias("y"), (F.col("p_partkey") % 911).cast("double").alias("z")),
+        ["x", "y", "z"])
+
+
+@check(nearest_sql("SELECT o_orderkey AS child, CASE WHEN o_orderkey % 3 = 0 THEN 4321.5 ELSE o_totalprice / 50 END AS x FROM orders",
+                   "SELECT c_custkey AS parent, c_acctbal AS x FROM customer", ["x"]))
+def nearest_hot_vector(spark, sf_dir):
+    """One feature, and a third of all children in one point."""
+    return nearest_one(
+        table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("child"), F.when(F.col("o_orderkey") % 3 == 0, 4321.5)
+                                              .otherwise(F.col("o_totalprice") / 50).alias("x")),
+        table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("parent"), F.col("c_acctbal").alias("x")), ["x"])
+
+
 @check(f"""WITH {LINEITEM_COPY}, bad AS (SELECT row_number() OVER (ORDER BY rid) - 1 AS i FROM lineitem_copy
   WHERE l_partkey NOT IN (SELECT p_partkey FROM part))
 SELECT (i // 150)::BIGINT AS batch, count(*) AS n_rows, count(*) AS n_parents FROM bad GROUP BY 1""")
