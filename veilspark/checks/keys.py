@@ -86,6 +86,14 @@ def repair_random(spark, sf_dir):
                               "random", "demo")
 
 
+@check(repaired_sql("42", "demo", "customer", "c_custkey"))
+def repair_fallback(spark, sf_dir):
+    """Nearest parents are asked for, but no numeric column is shared: a uniform draw is taken."""
+    orders = orders_copy(spark, sf_dir).select("o_orderkey", "o_custkey")
+    return repair_foreign_key(orders, "o_custkey", table(spark, sf_dir, "customer"), "c_custkey", "o_orderkey", DRAWS,
+                              "nearest", "demo")
+
+
 @check(repaired_sql("42", "demo", "events", "user_id"))
 def repair_random_repeated(spark, sf_dir):
     """Parents whose keys repeat are drawn as often as they occur."""
