@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +29,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def in_threads(spark: SparkSession, fn: Callable, items: Sequence, threads: int) -> list:
+    """Run one chain of jobs per item, a few at a time."""
+    with ThreadPoolExecutor(max(threads, 1)) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(fn), items))
+
+
 def row_ids(spark: SparkSession, n: int, name: str = "_rid", start: int = 1) -> DataFrame:
     """Ids start..start+n-1, in enough partitions to keep each of them small."""
     parts = max(spark.sparkContext.defaultParallelism, -(-n // ROWS_PER_PARTITION))
