@@ -12,16 +12,21 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.draws import Draws, normal_cdf, normal_pair, normal_quantile
-from ..functions.scaling import cut, dense_ordinal, row_ids, running_total
+from ..functions.scaling import cut, dense_ordinal, in_threads, row_ids, running_total
 from .marginals import all_pairs
 from .sample import look_up
 
 VALUES_PER_BUCKET = 4096
-BROADCAST_VALUES = 10_000
+WINDOW_VALUES = 10_000
+BROADCAST_BYTES = 48 << 20
+INTERVAL_BYTES = 32
+"""Bytes of a value's positions beside the value itself."""
+COLUMNS_AT_A_TIME = 8
 
 
 @dataclass
@@ -30,12 +35,20 @@ class Copula:
     intervals: dict[str, DataFrame]
     facts: dict[str, tuple[int, int, int]]
     """Rows, nulls and distinct values of each column."""
+    small: set[str]
+    """Columns whose intervals may be broadcast, by their bytes."""
     correlation: np.ndarray
 
 
 def value_intervals(df: DataFrame, column: str) -> DataFrame:
-    """(key, start, stop): the positions of each distinct non-null value, in the values' order."""
-    counts = df.groupBy(F.col(column).alias("key")).agg(F.count(F.lit(1)).alias("_w")).filter("key is not null")
+    """(key, start, stop): the positions of each distinct non-null value, in the values' order.
+
+    Few values are summed up by one window; more by a range partitioned order and a sum in two levels.
+    """
+    counts = cut(df.groupBy(F.col(column).alias("key")).agg(F.count(F.lit(1)).alias("_w")).filter("key is not null"))
+    if counts.count() <= WINDOW_VALUES:
+        before = F.sum("_w").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return counts.select("key", (before - F.col("_w")).alias("start"), before.alias("stop"))
     placed = dense_ordinal(counts, ["key"], "_place")
     total = running_total(placed, "_w", F.floor(F.col("_place") / VALUES_PER_BUCKET), ["_place"], "start")
     return total.select("key", "start", (F.col("start") + F.col("_w")).alias("stop"))
@@ -46,37 +59,60 @@ def normal_scores(intervals: DataFrame, n: int) -> DataFrame:
     return intervals.select("key", normal_quantile((F.col("start") + F.col("stop")) / (2.0 * max(n, 1))).alias("z"))
 
 
-def score_correlations(df: DataFrame, scores: dict[str, DataFrame], small: Sequence[str] = ()) -> DataFrame:
+def score_correlations(df: DataFrame, scores: dict[str, DataFrame], small: Sequence[str] = (), whole: Sequence[str] = ()) -> DataFrame:
     """(a, b, r): correlation of the normal scores of every pair of columns over rows that have both.
 
-    Values turn into scores by a join per column, broadcast for the ``small`` ones.
+    Values turn into scores by a join per column, broadcast for the ``small`` ones, which come first so that
+    shuffled rows hold numbers.  Pairs of ``whole`` columns, which have no nulls, share their sums.
     """
     columns = list(scores)
     z = df.select(*columns)
-    for c in columns:
+    for c in sorted(columns, key=lambda c: c not in small):
         table = scores[c].select(F.col("key").alias(c), F.col("z").alias("_z"))
         z = z.join(F.broadcast(table) if c in small else table, c, "left").drop(c).withColumnRenamed("_z", c)
     pairs = all_pairs(columns)
-    row = z.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    return row.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"))
+    at = {c: i for i, c in enumerate(columns)}
+    shared = {c for c in columns if c in whole}
+    sums = [F.count(F.lit(1)).alias("n")]
+    sums += [x for c in shared for x in (F.sum(c).alias(f"s{at[c]}"), F.sum(F.col(c) * F.col(c)).alias(f"q{at[c]}"))]
+    sums += [F.sum(F.col(a) * F.col(b)).alias(f"r{i}") if {a, b} <= shared else F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
+
+    def correlation(i: int, a: str, b: str) -> Column:
+        if not {a, b} <= shared:
+            return F.col(f"r{i}")
+        n, (sa, qa), (sb, qb) = F.col("n"), *((F.col(f"s{at[c]}"), F.col(f"q{at[c]}")) for c in (a, b))
+        spread = F.sqrt((n * qa - sa * sa) * (n * qb - sb * sb))
+        return F.when(spread > 0, (n * F.col(f"r{i}") - sa * sb) / spread)
+
+    return z.agg(*sums).select(F.inline(F.array(*[
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(i, a, b).alias("r"))
         for i, (a, b) in enumerate(pairs)])))
 
 
 def fit_copula(df: DataFrame, columns: Sequence[str] | None = None) -> Copula:
     columns = list(columns or df.columns)
-    intervals = {c: cut(value_intervals(df, c)) for c in columns}
+    intervals = dict(zip(columns, in_threads(df.sparkSession, lambda c: cut(value_intervals(df, c)), columns, COLUMNS_AT_A_TIME)))
+    def size(c: str) -> tuple[int, int]:
+        held = F.octet_length(F.col("key").cast("string")) + INTERVAL_BYTES
+        return tuple(intervals[c].agg(F.count(F.lit(1)), F.coalesce(F.sum(held), F.lit(0))).first())
+
+    sizes = dict(zip(columns, in_threads(df.sparkSession, size, columns, COLUMNS_AT_A_TIME)))
+    small, sent = set(), 0
+    for c in sorted(columns, key=lambda c: sizes[c][1]):
+        sent += sizes[c][1]
+        if sent <= BROADCAST_BYTES:
+            small.add(c)
     counted = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    facts = {c: (counted["n"], counted["n"] - counted[f"c{i}"], intervals[c].count()) for i, c in enumerate(columns)}
+    facts = {c: (counted["n"], counted["n"] - counted[f"c{i}"], sizes[c][0]) for i, c in enumerate(columns)}
     correlation = np.eye(len(columns))
     if len(columns) > 1:
         at = {c: i for i, c in enumerate(columns)}
         scores = {c: normal_scores(intervals[c], facts[c][0] - facts[c][1]) for c in columns}
-        small = [c for c in columns if facts[c][2] <= BROADCAST_VALUES]
-        for r in score_correlations(df, scores, small).collect():
+        whole = [c for c in columns if facts[c][1] == 0]
+        for r in score_correlations(df, scores, list(small), whole).collect():
             value = r["r"] if r["r"] is not None and np.isfinite(r["r"]) else 0.0
             correlation[at[r["a"]], at[r["b"]]] = correlation[at[r["b"]], at[r["a"]]] = value
-    return Copula(columns, intervals, facts, nearest_correlation(correlation))
+    return Copula(columns, intervals, facts, small, nearest_correlation(correlation))
 
 
 def nearest_correlation(matrix: np.ndarray) -> np.ndarray:
@@ -94,17 +130,18 @@ def sample_copula(spark: SparkSession, copula: Copula, n: int, draws: Draws, sco
     back through each column's own distribution."""
     k = len(copula.columns)
     factor = np.linalg.cholesky(copula.correlation * (1 - 1e-9) + 1e-9 * np.eye(k))
-    # one projection per step, as each step uses the one before several times
+    # one projection per step, as each step uses the one before several times; normals are plain columns, since
+    # fields of a struct would be folded into every sum that uses them
     u = row_ids(spark, n).select("_rid", *[
         draws.uniform("copula", scope, i, F.col("_rid")).alias(f"_u{i}") for i in range(k + k % 2)])
-    pairs = u.select("_rid", *[F.struct(*[z.alias(f"z{j}") for j, z in enumerate(normal_pair(F.col(f"_u{i}"), F.col(f"_u{i + 1}")))]).alias(f"_p{i}")
-                               for i in range(0, k, 2)])
-    mixed = pairs.select("_rid", *[
-        sum((float(factor[i, j]) * F.col(f"_p{j - j % 2}.z{j % 2}") for j in range(i + 1)), F.lit(0.0)).alias(f"_m{i}") for i in range(k)])
+    normals = u.select("_rid", *[z.alias(f"_z{i + j}") for i in range(0, k, 2)
+                                 for j, z in enumerate(normal_pair(F.col(f"_u{i}"), F.col(f"_u{i + 1}")))])
+    mixed = normals.select("_rid", *[
+        sum((float(factor[i, j]) * F.col(f"_z{j}") for j in range(i + 1)), F.lit(0.0)).alias(f"_m{i}") for i in range(k)])
     out = mixed
     for i, c in enumerate(copula.columns):
         rows, nulls, values = copula.facts[c]
         position = F.least(F.floor(normal_cdf(F.col(f"_m{i}")) * rows), F.lit(rows - 1)).cast("bigint") - nulls
         out = look_up(out.withColumn("_pos", position).drop(f"_m{i}"), copula.intervals[c], max(1, (rows - nulls) // max(values, 1)), c,
-                      small=values <= BROADCAST_VALUES)
+                      small=c in copula.small)
     return out.select("_rid", *copula.columns)
