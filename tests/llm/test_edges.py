@@ -110,6 +110,15 @@ def test_language_id(odd, empty):
     assert language_id.identify(empty, model).count() == 0
 
 
+def test_language_of_numerals(documents, odd):
+    """A text without a letter has no language, whatever its numerals and marks."""
+    model = language_id.fit(odd.select("lang", "text"))
+    rows = [(1, "½ ² Ⅷ ٣ 12", None, None, 0), (2, "² m²", None, None, 0), (3, "\u0301 \u0308", None, None, 0)]
+    found = {r["doc_id"]: r for r in language_id.identify(documents(rows), model).collect()}
+    assert (found[1]["lang_pred"], found[1]["score"]) == ("und", 0.0) == (found[3]["lang_pred"], found[3]["score"])
+    assert found[2]["lang_pred"] != "und"
+
+
 def test_substring_dedup(odd, empty, crowded):
     assert chained_dedup.passages(odd.select("doc_id", "text")).count() == 0
     assert chained_dedup.passages(empty.select("doc_id", "text")).count() == 0

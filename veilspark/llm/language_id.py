@@ -36,7 +36,9 @@ CACHE = 500_000
 
 
 def split_words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Lower-cased runs of letters; numerals such as ½ or Ⅷ may stand in a word but make none."""
+    runs = WORD.findall(text.lower()) if text else []
+    return [w for w in runs if w.isalpha() or any(c.isalpha() for c in w)]
 
 
 def grams_of(word: str, n: int) -> list[str]:
