@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.draws import choice_draw, integer_draw, real_draw, weighted_choice_draw
 from ..operators.sample import dense_foreign_key
@@ -11,6 +14,7 @@ from ..sources.generate import generate_tables, lookup_product, phone_draw, scal
 from ..sources.io import table_sizes, union_all
 from .fixtures import DRAWS
 from .registry import check, index_sql, q6, quoted, r6, table, u_sql
+from .spec_sql import spec_sql
 
 def slots(spark, sf_dir, name):
     """Row ids 1..n, as many as the table has rows."""
@@ -120,3 +124,50 @@ def gen_spec_counts(spark, sf_dir):
     factor = table(spark, sf_dir, "orders").count() / 5000.0
     return union_all([table_sizes(generate_tables(spark, scaled(spec, factor), DRAWS))
                      .select(F.lit(name).alias("dataset"), "table_name", "n_rows") for name, spec in SPECS.items()])
+
+
+def whole_spec(spark, sf_dir, name):
+    """All rows and columns of a named dataset, scaled by the orders table, one frame for all its tables."""
+    made = generate_tables(spark, scaled(SPECS[name], table(spark, sf_dir, "orders").count() / 5000.0), DRAWS)
+
+    def plain(df, column):
+        kind = df.schema[column].dataType
+        if isinstance(kind, T.DoubleType):
+            return r6(column).alias(column)
+        return F.col(column).cast("bigint").alias(column) if isinstance(kind, T.IntegralType) else F.col(column)
+    parts = [df.select(F.lit(name).alias("table_name"), *[plain(df, c) for c in df.columns]) for name, df in made.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def dataset_sql(name):
+    return spec_sql(SPECS[name], "(SELECT count(*) / 5000.0::DOUBLE FROM orders)")
+
+
+@check(dataset_sql("berka"))
+def gen_berka(spark, sf_dir):
+    return whole_spec(spark, sf_dir, "berka")
+
+
+@check(dataset_sql("rossmann"))
+def gen_rossmann(spark, sf_dir):
+    return whole_spec(spark, sf_dir, "rossmann")
+
+
+@check(dataset_sql("imdb"))
+def gen_imdb(spark, sf_dir):
+    return whole_spec(spark, sf_dir, "imdb")
+
+
+@check(dataset_sql("tpch"))
+def gen_tpch(spark, sf_dir):
+    return whole_spec(spark, sf_dir, "tpch")
+
+
+@check(dataset_sql("university"))
+def gen_university(spark, sf_dir):
+    return whole_spec(spark, sf_dir, "university")
+
+
+@check(dataset_sql("walmart"))
+def gen_walmart(spark, sf_dir):
+    return whole_spec(spark, sf_dir, "walmart")

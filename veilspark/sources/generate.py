@@ -29,56 +29,63 @@ class ColumnSpec:
     is_key: bool = False
     parent: tuple[str, str] | None = None
     price_of: tuple[str, str, str] | None = None
+    rule: tuple = ()
+    """The same column as plain values, kind first, for readers other than Spark."""
 
 
 def key(prefix: str = "") -> ColumnSpec:
     """Primary key 1..n, as text if a prefix is given."""
     make = (lambda i, u: F.concat(F.lit(prefix), i.cast("string"))) if prefix else (lambda i, u: i)
-    return ColumnSpec(make, is_key=True)
+    return ColumnSpec(make, is_key=True, rule=("key", prefix))
 
 
 def label(prefix: str, width: int = 0) -> ColumnSpec:
     """Text made of a prefix and the row key, zero padded to ``width``."""
-    return ColumnSpec(lambda i, u: F.format_string(prefix + (f"%0{width}d" if width else "%d"), i))
+    return ColumnSpec(lambda i, u: F.format_string(prefix + (f"%0{width}d" if width else "%d"), i),
+                      rule=("label", prefix, width))
 
 
 def listed(values: list[str]) -> ColumnSpec:
     """The i-th value of a list, starting again when it is used up."""
     return ColumnSpec(lambda i, u: F.element_at(F.array(*[F.lit(v) for v in values]),
-                                                (F.pmod(i - 1, len(values)) + 1).cast("int")))
+                                                (F.pmod(i - 1, len(values)) + 1).cast("int")),
+                      rule=("listed", values))
 
 
 def constant(value) -> ColumnSpec:
-    return ColumnSpec(lambda i, u: F.lit(value))
+    return ColumnSpec(lambda i, u: F.lit(value), rule=("constant", value))
 
 
 def choice(values: list, weights: list[float] | None = None, role: str = CATEGORICAL) -> ColumnSpec:
     if weights is None:
-        return ColumnSpec(lambda i, u: choice_draw(u(), values), role)
-    return ColumnSpec(lambda i, u: weighted_choice_draw(u(), values, weights), role)
+        return ColumnSpec(lambda i, u: choice_draw(u(), values), role, rule=("choice", values))
+    return ColumnSpec(lambda i, u: weighted_choice_draw(u(), values, weights), role, rule=("weighted", values, weights))
 
 
 def integer(lo: int, hi: int, role: str = NUMERICAL) -> ColumnSpec:
-    return ColumnSpec(lambda i, u: integer_draw(u(), lo, hi), role)
+    return ColumnSpec(lambda i, u: integer_draw(u(), lo, hi), role, rule=("integer", lo, hi))
 
 
 def real(lo: float, hi: float, digits: int) -> ColumnSpec:
-    return ColumnSpec(lambda i, u: real_draw(u(), lo, hi, digits), NUMERICAL)
+    return ColumnSpec(lambda i, u: real_draw(u(), lo, hi, digits), NUMERICAL, rule=("real", lo, hi, digits))
 
 
 def millions(lo: float, hi: float) -> ColumnSpec:
-    return ColumnSpec(lambda i, u: F.round(real_draw(u(), lo, hi, 6) * 1e6, 0), NUMERICAL)
+    return ColumnSpec(lambda i, u: F.round(real_draw(u(), lo, hi, 6) * 1e6, 0), NUMERICAL, rule=("millions", lo, hi))
 
 
 def phone() -> ColumnSpec:
     """Four random number groups joined by dashes."""
-    return ColumnSpec(lambda i, u: phone_draw(u))
+    return ColumnSpec(lambda i, u: phone_draw(u), rule=("phone", PHONE_GROUPS))
+
+
+# Ranges of the number groups.
+PHONE_GROUPS = ((10, 99), (100, 999), (100, 999), (1000, 9999))
 
 
 def phone_draw(u: Callable[..., Column]) -> Column:
-    groups = ((10, 99), (100, 999), (100, 999), (1000, 9999))
     return F.concat_ws("-", *[integer_draw(u(g), lo, hi).cast("string")
-                              for g, (lo, hi) in enumerate(groups)])
+                              for g, (lo, hi) in enumerate(PHONE_GROUPS)])
 
 
 def ref(table: str, column: str) -> ColumnSpec:
