@@ -81,14 +81,18 @@ def _workload(spark, sf_dir, types):
     return drawn.select("qid", F.array_join("tables", ",").alias("tables"), "order", r6("weight").alias("weight"))
 
 
-def workload_sql(types):
+def drawn_workload(types, queries):
+    """CTEs of a random workload for the ``qid`` rows of ``queries``, after STATS and WEIGHTS; ``ranked`` holds its tables."""
     pick = f"""[{', '.join(map(quoted, types))}][least(floor({u_sql("'query_type'", "qid")} * {len(types)})::INTEGER, {len(types) - 1}) + 1]"""
-    return f"""WITH {STATS}, {WEIGHTS},
-  typed AS (SELECT qid, {pick} AS qtype FROM (SELECT event_id AS qid FROM events)),
+    return f"""typed AS (SELECT qid, {pick} AS qtype FROM ({queries})),
   sized AS (SELECT qid, qtype, CASE qtype WHEN '1way' THEN 1 WHEN '3way' THEN 3 ELSE 2 END AS ord,
     CASE WHEN qtype <> 'cross_table' THEN 1 WHEN {u_sql("'query_size'", "qid")} >= 0.5::DOUBLE THEN 3 ELSE 2 END AS n FROM typed),
   ranked AS (SELECT s.*, w.ordinal, w.table_name, row_number() OVER (PARTITION BY qid
-    ORDER BY -ln({u_sql("'query_table'", "qid", "table_name")}) / weight) AS r FROM sized s, weights w)
+    ORDER BY -ln({u_sql("'query_table'", "qid", "table_name")}) / weight) AS r FROM sized s, weights w)"""
+
+
+def workload_sql(types):
+    return f"""WITH {STATS}, {WEIGHTS}, {drawn_workload(types, "SELECT event_id AS qid FROM events")}
 SELECT qid, string_agg(table_name, ',' ORDER BY ordinal) AS tables, any_value(ord)::INTEGER AS "order",
   {q6('pow(0.9::DOUBLE, any_value(ord) - 1)')} AS weight FROM ranked WHERE r <= n GROUP BY qid"""
 
@@ -162,6 +166,7 @@ def budget_ledger(spark, sf_dir):
 
 
 REFERENCE = "sum(a * eps * eps / (2 * (a - 1)))"
+MIRONOV_COST = "(ln(a / (2*a - 1) * exp((a - 1) * eps_each) + (a - 1) / (2*a - 1) * exp(-a * eps_each)) / (a - 1))"
 MIRONOV = "sum(ln(a / (2*a - 1) * exp((a - 1) * eps) + (a - 1) / (2*a - 1) * exp(-a * eps)) / (a - 1))"
 
 

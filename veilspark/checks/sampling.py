@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.sample import bootstrap, cap_rows, condition_foreign_key, sample_codes, sample_table, stratified_split
-from ..plans.synthesis import Settings, synthesize
-from ..sources.io import table_sizes
-from .fixtures import DRAWS, ORDERS_COPY, intervals_sql, orders_copy, position_sql, star_schema, star_tables
+from ..operators.encode import fit_codec
+from ..plans.synthesis import Settings, fit_all, synthesize
+from ..sources.io import collect_sizes, table_sizes
+from .fixtures import DRAWS, ORDERS_COPY, PRIORITIES, intervals_sql, orders_copy, position_sql, star_schema, star_tables
 from .modelling import MODEL, ORDER_COLUMNS, order_model
 from .reading import sizes_sql
-from .registry import check, q6, quoted, r6, table, u_sql
+from .budgeting import ANALYTICAL, INVOLVED, MIRONOV_COST, STATS, WEIGHTS, drawn_workload
+from .registry import bin_sql, check, q6, quoted, r6, table, u_sql
 
 SLOTS = "slots AS (SELECT unnest(range(1, (SELECT count(*) FROM orders) + 1)) AS rid)"
 CDF = """cdf AS (SELECT family, pidx, code, sum(round(p, 12)) OVER (PARTITION BY family, pidx ORDER BY code
@@ -97,9 +99,70 @@ def sample_all_counts(spark, sf_dir):
     return table_sizes(synthesis(spark, sf_dir)[0].tables)
 
 
-@check()
+def ledger_sql(stats=STATS, open_tables=()):
+    """Budgets of the settings' own workload, and what each table spends its budget on; nothing of ``open_tables`` is read."""
+    schema = star_schema()
+    attrs = [(t, len([c for c in m.attributes if c not in schema.key_columns(t)])) for t, m in schema.tables.items()]
+    known = f"table_name IN ({', '.join(map(quoted, ['', *open_tables]))})"
+    return f"""WITH {stats}, {WEIGHTS},
+{drawn_workload(STAR_SETTINGS.query_types, f"SELECT unnest(range({STAR_SETTINGS.num_queries})) AS qid")},
+wlog AS (SELECT qid, list(table_name) AS tables, pow(0.9::DOUBLE, any_value(ord) - 1) AS weight FROM ranked WHERE r <= n GROUP BY qid),
+{INVOLVED}, {ANALYTICAL},
+spent AS (SELECT table_name, k, k * (k - 1) // 2 AS pairs, eps / (greatest(k * (k - 1) // 2, 1) + k) AS share
+  FROM budget JOIN (VALUES {", ".join(f"('{t}', {k})" for t, k in attrs)}) v(table_name, k) USING (table_name)),
+ledger AS (SELECT table_name, 'pair marginals' AS release, pairs::BIGINT AS n_releases, pairs * share AS eps, true AS is_private FROM spent
+  UNION ALL SELECT table_name, 'conditional tables', k, k * share, true FROM spent
+  UNION ALL SELECT table_name, 'bounds and dictionaries', 0, 0.0::DOUBLE, {known} FROM spent
+  UNION ALL SELECT table_name, 'row count', 0, 0.0::DOUBLE, {'true' if open_tables else 'false'} FROM spent)"""
+
+
+LEDGER_OUT = f" SELECT table_name, release, n_releases, {q6('eps')} AS eps, is_private FROM ledger"
+
+
+@check(ledger_sql() + LEDGER_OUT)
 def fit_all_ledger(spark, sf_dir):
-    return synthesis(spark, sf_dir)[0].ledger(spark)
+    made = fit_all(star_tables(spark, sf_dir), star_schema(), STAR_SETTINGS)
+    return made.ledger(spark).withColumn("eps", r6("eps"))
+
+
+@check(ledger_sql() + f""", costs AS (
+  SELECT table_name, min(rdp + ln(1.0::DOUBLE / 1e-5::DOUBLE) / (a - 1)) AS composed_eps FROM (
+    SELECT table_name, a, sum(n_releases * {MIRONOV_COST}) AS rdp
+    FROM (SELECT *, eps / greatest(n_releases, 1) AS eps_each FROM ledger) l, (SELECT unnest([1.5, 2, 3, 5, 10, 25, 50, 100])::DOUBLE AS a)
+    GROUP BY ALL) GROUP BY table_name)
+SELECT table_name, sum(n_releases)::BIGINT AS n_releases, {q6('sum(eps)')} AS eps, {q6('any_value(composed_eps)')} AS composed_eps,
+  {q6('least(sum(eps), any_value(composed_eps))')} AS guarantee, bool_and(is_private) AS is_private
+FROM ledger JOIN costs USING (table_name) GROUP BY table_name""")
+def ledger_composed(spark, sf_dir):
+    made = fit_all(star_tables(spark, sf_dir), star_schema(), STAR_SETTINGS).composed(spark)
+    return made.select("table_name", "n_releases", *[r6(c).alias(c) for c in ("eps", "composed_eps", "guarantee")], "is_private")
+
+
+# Public knowledge of one table; prices beyond the range and priorities outside the list do occur.
+PUBLIC = {"bounds": {"orders": {"o_totalprice": (0.0, 100000.0), "o_orderdate": (0.0, 2e15)}},
+          "domains": {"orders": {"o_orderstatus": ["F", "O", "P"], "o_orderpriority": PRIORITIES[:3]}},
+          "nullable": {"orders": ["o_orderpriority"]}}
+THOUSANDS = STATS.replace("s.n_rows", "(ceil(s.n_rows / 1000.0) * 1000)::BIGINT AS n_rows")
+
+
+@check(ledger_sql(THOUSANDS, ["orders"]) + LEDGER_OUT)
+def fit_public_ledger(spark, sf_dir):
+    """Row counts published in thousands for all tables, and all columns of one table known beforehand."""
+    tables = star_tables(spark, sf_dir)
+    counts = {n: -(-rows // 1000) * 1000 for n, rows in collect_sizes(tables).items()}
+    made = fit_all(tables, star_schema(), Settings(**PUBLIC, row_counts=counts))
+    return made.ledger(spark).withColumn("eps", r6("eps"))
+
+
+@check(f"""SELECT o_orderkey, {bin_sql('o_totalprice', '0.0::DOUBLE', '100000.0::DOUBLE', 32)} AS o_totalprice,
+  coalesce(list_position(['F', 'O', 'P'], o_orderstatus) - 1, 0)::INTEGER AS o_orderstatus,
+  coalesce(list_position([{', '.join(map(quoted, PRIORITIES[:3]))}], o_orderpriority) - 1, 3)::INTEGER AS o_orderpriority FROM orders""")
+def encode_public(spark, sf_dir):
+    """Codes from public ranges and lists alone: nothing is read to fit them."""
+    orders = table(spark, sf_dir, "orders")
+    codec = fit_codec(orders, star_schema().tables["orders"].dtypes, ["o_totalprice", "o_orderstatus", "o_orderpriority"], 32,
+                      bounds={"o_totalprice": (0.0, 100000.0)}, domains=PUBLIC["domains"]["orders"], nullable=PUBLIC["nullable"]["orders"])
+    return codec.encode(orders, ["o_orderkey"])
 
 
 @check(f"""WITH {intervals_sql('iv', 'customer', 'c_custkey')},

@@ -282,6 +282,33 @@ def budget_ledger(budget: DataFrame, stats: DataFrame) -> DataFrame:
                     in_table_split(k, F.col("eps")).alias("eps_per_release")))
 
 
+def rdp_cost(a: Column, e: Column, formula: str) -> Column:
+    """Renyi cost of order ``a`` of one release with budget ``e``."""
+    if formula == "reference":
+        return a * e * e / (2.0 * (a - 1.0))
+    if formula == "laplace":
+        return F.log(a / (2 * a - 1) * F.exp((a - 1) * e) + (a - 1) / (2 * a - 1) * F.exp(-a * e)) / (a - 1)
+    raise ValueError(f"unknown formula {formula!r}")
+
+
+def composed_ledger(ledger: DataFrame, delta: float, orders: Sequence[float] = RDP_ORDERS,
+                    formula: str = "laplace") -> DataFrame:
+    """(table_name, n_releases, eps, composed_eps, guarantee, is_private) of each table in a ledger.
+
+    ``eps`` adds up all releases.  ``composed_eps`` is what they cost together at ``delta``, by the
+    best Renyi order, and ``guarantee`` the better of the two.  A table is private if nothing about
+    it was read outside the budget.
+    """
+    log_term = float(np.log(1.0 / delta))
+    each = F.col("eps") / F.greatest("n_releases", F.lit(1))
+    costs = [F.sum(F.col("n_releases") * rdp_cost(F.lit(float(o)), each, formula)) + log_term / (o - 1.0)
+             for o in orders if o > 1]
+    return (ledger.groupBy("table_name")
+            .agg(F.sum("n_releases").alias("n_releases"), F.sum("eps").alias("eps"),
+                 F.array_min(F.array(*costs)).alias("composed_eps"), F.bool_and("is_private").alias("is_private"))
+            .withColumn("guarantee", F.least("eps", "composed_eps")))
+
+
 def rdp_compose(budget: DataFrame, delta: float, orders: Sequence[float] = RDP_ORDERS,
                 formula: str = "reference") -> DataFrame:
     """Composed (eps, delta) per Renyi order above 1; the guarantee is the smallest of them.
@@ -289,14 +316,7 @@ def rdp_compose(budget: DataFrame, delta: float, orders: Sequence[float] = RDP_O
     ``reference``: cost alpha * eps^2 / (2 (alpha - 1)).  ``laplace``: the Laplace mechanism's
     Renyi divergence (Mironov 2017).
     """
-    a, e = F.col("alpha"), F.col("eps")
-    if formula == "reference":
-        cost = a * e * e / (2.0 * (a - 1.0))
-    elif formula == "laplace":
-        cost = F.log(a / (2 * a - 1) * F.exp((a - 1) * e) + (a - 1) / (2 * a - 1) * F.exp(-a * e)) / (a - 1)
-    else:
-        raise ValueError(f"unknown formula {formula!r}")
     usable = F.array(*[F.lit(float(o)) for o in orders if o > 1])
     return (budget.select("eps", F.explode(usable).alias("alpha"))
-            .groupBy("alpha").agg(F.sum(cost).alias("rdp"))
+            .groupBy("alpha").agg(F.sum(rdp_cost(F.col("alpha"), F.col("eps"), formula)).alias("rdp"))
             .withColumn("composed_eps", F.col("rdp") + float(np.log(1.0 / delta)) / (F.col("alpha") - 1.0)))

@@ -6,7 +6,7 @@ into literals: encoding and decoding whole tables are single projections without
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -109,6 +109,7 @@ class ColumnCodec:
     capped: bool = False
     null_code: bool = False
     num_bins: int = 32
+    declared: bool = False
 
     @property
     def numeric(self) -> bool:
@@ -127,7 +128,7 @@ class ColumnCodec:
             missing = top  # null joins NaN in the top bin, or has a code of its own
         else:
             text = F.col(self.name).cast("string")
-            other = F.lit(len(self.values) if self.capped else 0)
+            other = F.lit(len(self.values) if self.capped else top if self.declared and self.null_code else 0)
             known = F.create_map(*[x for i, v in enumerate(self.values) for x in (F.lit(v), F.lit(i))]) if self.values else None
             code = F.when(text.isNotNull(), F.coalesce(known[text], other) if self.values else other)
             missing = top if self.null_code or self.capped else 0
@@ -178,24 +179,31 @@ class Codec:
 def fit_codec(df: DataFrame, dtypes: Mapping[str, str], columns: list[str] | None = None,
               num_bins: int = 32, null_policy: str = "category",
               bounds: Mapping[str, tuple[float, float]] | None = None,
-              domains: Mapping[str, list[str]] | None = None) -> Codec:
+              domains: Mapping[str, list[str]] | None = None,
+              nullable: Collection[str] | None = None) -> Codec:
     """Learn bounds and dictionaries; at most ``num_bins`` values per column reach the driver.
 
     ``bounds`` and ``domains`` give public ranges and value lists for columns whose own range
-    must not be looked at.  ``null_policy``: ``category`` gives nulls a code of their own,
-    ``compat`` puts them in the top bin, the first category or the other-category.
+    must not be looked at, ``nullable`` the columns that may hold nulls; columns given by all of
+    them are not read.  Numbers outside public bounds go to the end bins, values outside a public
+    domain count as null.  ``null_policy``: ``category`` gives nulls a code of their own,
+    ``compat`` puts them in the top bin, the first category or the other-category, as do nulls in
+    columns that are not declared nullable.
     """
     if null_policy not in ("category", "compat"):
         raise ValueError(f"unknown null policy {null_policy!r}")
     columns = columns or df.columns
-    bounds, domains = dict(bounds or {}), dict(domains or {})
+    bounds, domains = dict(bounds or {}), {c: list(v) for c, v in (domains or {}).items()}
+    declared = set(bounds) | set(domains)
     numeric = [c for c in columns if dtypes.get(c) == NUMERICAL]
     text = [c for c in columns if c not in numeric]
     seek = [c for c in numeric if c not in bounds]
     ends = _bound_columns(df, seek)
-    flags = [F.max(F.col(c).isNull()).alias(f"null_{i}") for i, c in enumerate(columns)]
-    facts = df.agg(*ends, *flags).first()
-    nulls = {c for i, c in enumerate(columns) if facts[f"null_{i}"]} if null_policy == "category" else set()
+    flags = [F.max(F.col(c).isNull()).alias(f"null_{i}") for i, c in enumerate(columns)] if nullable is None else []
+    facts = df.agg(*ends, *flags).first() if ends or flags else None
+    nulls = set(nullable) if nullable is not None else {c for i, c in enumerate(columns) if facts[f"null_{i}"]}
+    if null_policy != "category":
+        nulls = set()
     for i, c in enumerate(seek):
         lo, hi = facts[f"min_{i}"], facts[f"max_{i}"]
         bounds[c] = (lo - PAD, hi + PAD) if lo is not None else (0.0, 1.0)
@@ -210,5 +218,5 @@ def fit_codec(df: DataFrame, dtypes: Mapping[str, str], columns: list[str] | Non
     for c in columns:
         lo, hi = bounds.get(c, (None, None)) if c in numeric else (None, None)
         out[c] = ColumnCodec(c, df.schema[c].dataType, lo, hi, domains.get(c, []) if c in text else [],
-                             c in capped, c in nulls, num_bins)
+                             c in capped, c in nulls, num_bins, c in declared)
     return Codec(out)

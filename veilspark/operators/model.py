@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,15 +29,17 @@ class TableModel:
     n_rows: int
     eps: float
     eps_per_release: float
+    inputs_public: bool = False
+    count_public: bool = False
 
-    def ledger(self) -> list[tuple[str, str, float, bool]]:
-        """(table, release, eps, is_private): what was published and at what price."""
+    def ledger(self) -> list[tuple[str, str, int, float, bool]]:
+        """(table, release, n_releases, eps, is_private): what was published and at what price."""
         pairs = len(all_pairs(list(self.codec.columns)))
         k = len(self.codec.columns)
-        return [(self.name, "pair marginals", pairs * self.eps_per_release, True),
-                (self.name, "conditional tables", k * self.eps_per_release, True),
-                (self.name, "bounds and dictionaries", 0.0, False),
-                (self.name, "row count", 0.0, False)]
+        return [(self.name, "pair marginals", pairs, pairs * self.eps_per_release, True),
+                (self.name, "conditional tables", k, k * self.eps_per_release, True),
+                (self.name, "bounds and dictionaries", 0, 0.0, self.inputs_public),
+                (self.name, "row count", 0, 0.0, self.count_public)]
 
 
 def release_share(k: int, eps: float) -> float:
@@ -62,7 +64,9 @@ def fit_table(df: DataFrame, name: str, dtypes: Mapping[str, str], eps: float, n
               columns: Sequence[str] | None = None, num_bins: int = 32, max_parents: int = 3,
               null_policy: str = "category", noise_on: str = "joint", draws: Draws = Draws(),
               network: Network | None = None, codec: Codec | None = None,
-              path: str | None = None) -> TableModel:
+              path: str | None = None, bounds: Mapping[str, tuple[float, float]] | None = None,
+              domains: Mapping[str, list[str]] | None = None, nullable: Collection[str] | None = None,
+              count_public: bool = False) -> TableModel:
     """Learn a table's model within ``eps``.
 
     The input is scanned for bounds, dictionaries, pair counts and conditional counts; everything
@@ -70,12 +74,17 @@ def fit_table(df: DataFrame, name: str, dtypes: Mapping[str, str], eps: float, n
     set: every column keeps all its parents, whatever other columns there are.  The conditional tables are
     materialised (at ``path`` as Parquet, else in the checkpoint folder), so sampling never goes
     back to the real data.
+
+    ``bounds``, ``domains`` and ``nullable`` are public knowledge of the columns (see ``fit_codec``);
+    if they leave nothing to be read, the ledger lists bounds and dictionaries as private, and so
+    the row count if ``count_public`` says that ``n_rows`` was not taken from the table.
     """
     columns = list(columns if columns is not None else df.columns)
     draws = Draws(f"{draws.seed}/{name}", draws.generator)
     if not columns:
-        return TableModel(name, [], Codec({}), [], [], None, n_rows, eps, eps)
-    codec = codec or fit_codec(df, dtypes, columns, num_bins, null_policy)
+        return TableModel(name, [], Codec({}), [], [], None, n_rows, eps, eps, True, count_public)
+    inputs_public = codec is None and nullable is not None and set(columns) <= {*(bounds or {}), *(domains or {})}
+    codec = codec or fit_codec(df, dtypes, columns, num_bins, null_policy, bounds, domains, nullable)
     codes, sizes = codec.encode(df), codec.sizes
     share = release_share(len(columns), eps)
     if network is None:
@@ -88,7 +97,7 @@ def fit_table(df: DataFrame, name: str, dtypes: Mapping[str, str], eps: float, n
         cpt = df.sparkSession.read.parquet(path)
     else:
         cpt = cut(cpt)
-    return TableModel(name, columns, codec, network, families, cpt, n_rows, eps, share)
+    return TableModel(name, columns, codec, network, families, cpt, n_rows, eps, share, inputs_public, count_public)
 
 
 def fit_codes(codes: DataFrame, sizes: Mapping[str, int], network: Network, n: int | Column, eps: float,
