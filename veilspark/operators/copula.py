@@ -8,15 +8,16 @@ in the intervals by equi-join, so all values, types and shares are kept however
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.draws import Draws, normal_cdf, normal_pair, normal_quantile
+from ..functions.draws import Draws, box_muller, normal_cdf_of, normal_quantile
 from ..functions.scaling import cut, dense_ordinal, in_threads, row_ids, running_total
 from .marginals import all_pairs
 from .sample import look_up
@@ -125,23 +126,39 @@ def nearest_correlation(matrix: np.ndarray) -> np.ndarray:
     return fixed / np.outer(scale, scale)
 
 
+def positions(copula: Copula, u: DataFrame) -> DataFrame:
+    """(_rid, _p0, _p1..) of rows (_rid, _u0, _u1..): the position of each column among its rows, below 0 for a null.
+
+    Normals, mixing and ranks are worked out a batch at a time: as column expressions they make one method that is too
+    long for the compiler of the machine.
+    """
+    k = len(copula.columns)
+    factor = np.linalg.cholesky(copula.correlation * (1 - 1e-9) + 1e-9 * np.eye(k))
+    facts = [copula.facts[c] for c in copula.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            draws = [batch.column(1 + i).to_numpy() for i in range(k + k % 2)]
+            normals = [z for i in range(0, k, 2) for z in box_muller(draws[i], draws[i + 1])]
+            places = []
+            for i, (rows, nulls, _) in enumerate(facts):
+                mixed = sum(factor[i, j] * normals[j] for j in range(i + 1))
+                places.append(pa.array(np.minimum(np.floor(normal_cdf_of(mixed) * rows), rows - 1).astype(np.int64) - nulls))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *places], ["_rid", *(f"_p{i}" for i in range(k))])
+
+    return u.mapInArrow(run, ", ".join(["_rid long", *(f"_p{i} long" for i in range(k))]))
+
+
 def sample_copula(spark: SparkSession, copula: Copula, n: int, draws: Draws, scope: str = "") -> DataFrame:
     """``n`` rows with ``_rid`` 1..n: independent normals, mixed by the Cholesky factor, taken
     back through each column's own distribution."""
     k = len(copula.columns)
-    factor = np.linalg.cholesky(copula.correlation * (1 - 1e-9) + 1e-9 * np.eye(k))
-    # one projection per step, as each step uses the one before several times; normals are plain columns, since
-    # fields of a struct would be folded into every sum that uses them
-    u = row_ids(spark, n).select("_rid", *[
-        draws.uniform("copula", scope, i, F.col("_rid")).alias(f"_u{i}") for i in range(k + k % 2)])
-    normals = u.select("_rid", *[z.alias(f"_z{i + j}") for i in range(0, k, 2)
-                                 for j, z in enumerate(normal_pair(F.col(f"_u{i}"), F.col(f"_u{i + 1}")))])
-    mixed = normals.select("_rid", *[
-        sum((float(factor[i, j]) * F.col(f"_z{j}") for j in range(i + 1)), F.lit(0.0)).alias(f"_m{i}") for i in range(k)])
-    out = mixed
-    for i, c in enumerate(copula.columns):
+    out = positions(copula, row_ids(spark, n).select("_rid", *[
+        draws.uniform("copula", scope, i, F.col("_rid")).alias(f"_u{i}") for i in range(k + k % 2)]))
+    # columns that are met by shuffle come first, while the rows hold little more than numbers
+    for i in sorted(range(k), key=lambda i: copula.columns[i] in copula.small):
+        c = copula.columns[i]
         rows, nulls, values = copula.facts[c]
-        position = F.least(F.floor(normal_cdf(F.col(f"_m{i}")) * rows), F.lit(rows - 1)).cast("bigint") - nulls
-        out = look_up(out.withColumn("_pos", position).drop(f"_m{i}"), copula.intervals[c], max(1, (rows - nulls) // max(values, 1)), c,
+        out = look_up(out.withColumnRenamed(f"_p{i}", "_pos"), copula.intervals[c], max(1, (rows - nulls) // max(values, 1)), c,
                       small=c in copula.small)
     return out.select("_rid", *copula.columns)
