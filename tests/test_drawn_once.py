@@ -33,3 +33,41 @@ def test_batches_draw_what_columns_draw(spark):
         assert np.allclose(got[name], z, rtol=0, atol=1e-13)
     assert np.allclose(got["p"], normal_cdf_of(got["z0"].to_numpy() * 3), rtol=1e-13, atol=0)
     assert np.allclose(normal_cdf_of(np.array([-9.0, -1.0, 0.0, 1.0, 9.0])), [0.5 * math.erfc(-x / math.sqrt(2)) for x in (-9, -1, 0, 1, 9)], rtol=1e-6, atol=0)
+
+
+def test_cross_queries_of_a_key_share_a_pass(spark):
+    """Three questions about one key read each side's parent and child once; each answer is that of the single question."""
+    from veilspark.operators.fidelity import PlannedQuery, cross_count, cross_mean, query_errors
+    schema = parse_schema(SCHEMA | {"tables": SCHEMA["tables"] | {
+        "a": {"attributes": ["id", "x", "z"], "dtypes": {"id": "categorical", "x": "numerical", "z": "numerical"}, "primary_key": "id"}}})
+    def side(shift):
+        a = spark.createDataFrame([(i, float(i % 5), None if i % 3 else float(i + shift)) for i in range(1, 30)], "id long, x double, z double")
+        b = spark.createDataFrame([(i * i % 40 + shift, "v") for i in range(60)] + [(None, "v")], "a_id long, y string")
+        return {"a": a, "b": b}
+    real, syn = side(0), side(1)
+    label = schema.foreign_keys[0].label
+    plan = [PlannedQuery("cross_table", label, c) for c in (("x",), (), ("z",))]
+    errors = query_errors(real, syn, schema, plan)
+    assert errors._jdf.queryExecution().analyzed().toString().count("LogicalRDD") == 4
+    for q, row in zip(plan, errors.collect()):
+        r, s = ((cross_mean(t["b"], "a_id", t["a"], "id", q.columns[0]) if q.columns else cross_count(t["b"], "a_id", t["a"], "id")).first()["value"]
+                for t in (real, syn))
+        assert abs(row["error"] - abs(r - s) / abs(r)) < 1e-12 and row["query"] == f"{label} {' '.join(q.columns)}"
+
+
+def test_errors_of_keys_with_equal_counts(spark):
+    """Errors and distances from counts of counts are those over all keys, also without real rows."""
+    from veilspark.operators.fidelity import kway_errors, tv_categorical
+    draw = lambda m: spark.createDataFrame([(str(i * m % 7), None if i % 11 == 0 else str(i % m)) for i in range(50)], "p string, q string")
+    real, syn = draw(3), draw(4)
+    got = {r["columns"]: r for r in kway_errors(real, syn, [["p"], ["p", "q"]]).collect()}
+    tv = {r["column_name"]: r["tv"] for r in tv_categorical(real, syn, ["p", "q"]).collect()}
+    for columns in (["p"], ["q"], ["p", "q"]):
+        sides = [[tuple(r[c] for c in columns) for r in df.collect() if None not in tuple(r[c] for c in columns)] for df in (real, syn)]
+        gaps = [abs(sides[0].count(k) / len(sides[0]) - sides[1].count(k) / len(sides[1])) for k in {*sides[0], *sides[1]}]
+        name = "|".join(columns)
+        if name in got:
+            assert got[name]["cells"] == len(gaps) and abs(got[name]["error"] - sum(gaps) / len(gaps)) < 1e-12
+        if name in tv:
+            assert abs(tv[name] - sum(gaps) / 2) < 1e-12
+    assert [r["error"] for r in kway_errors(real.limit(0), syn, [["p"]]).collect()] == [None]

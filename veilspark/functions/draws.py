@@ -42,8 +42,10 @@ class Draws:
         """Uniform draw, strictly between 0 and 1, for the given key parts."""
         parts = [F.lit(str(self.seed))] + [as_column(k) for k in key]
         if self.generator == "md5":
-            digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
-            bits = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
+            texts = [self.seed, *key]  # leading constants are one text, put together once
+            n = next((i for i, t in enumerate(texts) if type(t) not in (str, int)), len(texts))
+            digest = F.md5(F.concat_ws(":", F.lit(":".join(map(str, texts[:n]))), *[p.cast("string") for p in parts[n:]]))
+            bits = F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double")
         elif self.generator == "xxhash64":
             bits = F.shiftrightunsigned(F.xxhash64(*parts), 12).cast("double")
         else:

@@ -53,15 +53,23 @@ def kway_errors(real: DataFrame, syn: DataFrame, column_sets: Sequence[Sequence[
             F.struct(F.lit("|".join(cs)).alias("columns"),
                      F.when(~_any_null(cs), F.array(*[F.col(c).cast("string") for c in cs])).alias("key"))
             for cs in column_sets])
-        return (df.select(F.inline(keyed)).filter(F.col("key").isNotNull())
-                .groupBy("columns", "key").agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(side)))
-    both = (cells(real, "r").unionByName(cells(syn, "s")).groupBy("columns", "key")
-            .agg(F.sum(F.when(F.col("side") == "r", F.col("n")).otherwise(0)).alias("r"),
-                 F.sum(F.when(F.col("side") == "s", F.col("n")).otherwise(0)).alias("s")))
-    totals = both.groupBy("columns").agg(F.sum("r").alias("rt"), F.greatest(F.sum("s"), F.lit(1)).alias("st"))
+        return df.select(F.inline(keyed)).filter(F.col("key").isNotNull()).withColumn("side", F.lit(side))
+    cells_alike = _alike(cells(real, "r").unionByName(cells(syn, "s")), ["columns", "key"])
+    totals = cells_alike.groupBy("columns").agg(F.sum(F.col("r") * F.col("k")).alias("rt"),
+                                                F.greatest(F.sum(F.col("s") * F.col("k")), F.lit(1)).alias("st"))
     gap = F.abs(F.try_divide("r", "rt") - F.col("s") / F.col("st"))
-    return (both.join(F.broadcast(totals), "columns").groupBy("columns")
-            .agg(F.count(F.lit(1)).alias("cells"), F.avg(gap).alias("error")))
+    return (cells_alike.join(F.broadcast(totals), "columns").groupBy("columns")
+            .agg(F.sum("k").alias("cells"), (F.sum(gap * F.col("k")) / F.sum(F.when(gap.isNotNull(), F.col("k")))).alias("error")))
+
+
+def _alike(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(first key, r, s, k): how many keys occur r times among the rows of side r and s times among those of side s.
+
+    Keys are counted once for both sides.  What is asked of them afterwards depends on their two counts only, so
+    totals and distances read this small table instead of the counts of all keys again.
+    """
+    both = rows.groupBy(*keys).agg(F.count(F.when(F.col("side") == "r", 1)).alias("r"), F.count(F.when(F.col("side") == "s", 1)).alias("s"))
+    return both.groupBy(keys[0], "r", "s").agg(F.count(F.lit(1)).alias("k"))
 
 
 def _any_null(columns: Sequence[str]) -> Column:
@@ -74,10 +82,7 @@ def _any_null(columns: Sequence[str]) -> Column:
 def cross_count(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str) -> DataFrame:
     """Rows of the join of child and parent, without building it: both sides are counted per key
     and the products are summed, so a hot key is one row on each side."""
-    asked, given = comparable(child, child_col, parent, parent_col)
-    c = child.groupBy(asked.alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
-    p = parent.groupBy(given.alias("_k")).agg(F.count(F.lit(1)).alias("_p"))
-    return c.join(p, "_k").agg(F.coalesce(F.sum(F.col("_c") * F.col("_p")), F.lit(0)).alias("value"))
+    return _cross_sums(child, child_col, parent, parent_col, []).select(F.coalesce("rows", F.lit(0)).alias("value"))
 
 
 def cross_mean(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str, column: str) -> DataFrame:
@@ -85,18 +90,34 @@ def cross_mean(child: DataFrame, child_col: str, parent: DataFrame, parent_col:
 
     What is no number counts as missing; an empty join has the mean 0.
     """
-    is_text = isinstance(parent.schema[column].dataType, T.StringType)
-    x = F.col(column).try_cast("double") if is_text else as_number(parent, column)
-    x = F.when(~F.isnan(x), x)
+    return _cross_sums(child, child_col, parent, parent_col, [column]).select(_mean_of(0).alias("value"))
+
+
+def cross_values(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str,
+                 columns: Sequence[str | None]) -> DataFrame:
+    """One row (values): the means of several parent columns over the join, or its rows for None, from one pass
+    over child and parent."""
+    measures = [c for c in dict.fromkeys(columns) if c is not None]
+    values = [F.coalesce("rows", F.lit(0)).cast("double") if c is None else _mean_of(measures.index(c)) for c in columns]
+    return _cross_sums(child, child_col, parent, parent_col, measures).select(F.array(*values).alias("values"))
+
+
+def _mean_of(i: int) -> Column:
+    return F.when(F.coalesce("rows", F.lit(0)) == 0, 0.0).when(F.col(f"n{i}") > 0, F.col(f"s{i}") / F.col(f"n{i}"))
+
+
+def _cross_sums(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str, columns: Sequence[str]) -> DataFrame:
+    """One row (rows, n0, s0, n1, ..): rows of the join, and numbers and sum of each parent column over it."""
+    def number(column):
+        x = F.col(column).try_cast("double") if isinstance(parent.schema[column].dataType, T.StringType) else as_number(parent, column)
+        return F.when(~F.isnan(x), x)
     asked, given = comparable(child, child_col, parent, parent_col)
     c = child.groupBy(asked.alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
-    p = parent.select(given.alias("_k"), x.alias("_x")).groupBy("_k").agg(
-        F.count(F.lit(1)).alias("_p"), F.count("_x").alias("_n"), F.sum("_x").alias("_s"))
-    joined = c.join(p, "_k").agg(
-        F.sum(F.col("_c") * F.col("_p")).alias("rows"), F.sum(F.col("_c") * F.col("_n")).alias("n"),
-        F.sum(F.col("_c") * F.col("_s")).alias("s"))
-    return joined.select(F.when(F.coalesce("rows", F.lit(0)) == 0, 0.0)
-                         .when(F.col("n") > 0, F.col("s") / F.col("n")).alias("value"))
+    p = parent.select(given.alias("_k"), *[number(m).alias(f"_x{i}") for i, m in enumerate(columns)]).groupBy("_k").agg(
+        F.count(F.lit(1)).alias("_p"), *[f(f"_x{i}").alias(f"_{n}{i}") for i in range(len(columns)) for n, f in (("n", F.count), ("s", F.sum))])
+    return c.join(p, "_k").agg(
+        F.sum(F.col("_c") * F.col("_p")).alias("rows"),
+        *[F.sum(F.col("_c") * F.col(f"_{n}{i}")).alias(f"{n}{i}") for i in range(len(columns)) for n in "ns"])
 
 
 def relative_error(real: Column, syn: Column) -> Column:
@@ -130,11 +151,12 @@ def tv_numeric(real: DataFrame, syn: DataFrame, columns: Sequence[str], num_bins
             # least() skips nulls, so missing values have to be kept out first
             code = F.least(F.floor((x - lo) / (hi - lo) * num_bins), F.lit(num_bins - 1)) if hi > lo else F.lit(0)
             cells.append(F.when(x.isNotNull(), code.cast("bigint") + i * num_bins))
-        counted = (df.select(F.explode(F.array(*cells).cast("array<bigint>")).alias("_cell")).filter("_cell is not null")
-                   .groupBy("_cell").agg(F.count(F.lit(1)).alias("n")))
-        name = F.element_at(F.array(*[F.lit(c) for c in columns]), (F.floor(F.col("_cell") / num_bins) + 1).cast("int"))
-        return counted.select(name.alias("column_name"), F.col("_cell").cast("string").alias("value"), "n", F.lit(side).alias("side"))
-    return _tv(binned(r, "r"), binned(s, "s"), columns)
+        return (df.select(F.explode(F.array(*cells).cast("array<bigint>")).alias("_cell"))
+                .filter("_cell is not null").withColumn("side", F.lit(side)))
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), (F.floor(F.col("_cell") / num_bins) + 1).cast("int"))
+    counted = (binned(r, "r").unionByName(binned(s, "s")).groupBy("_cell")
+               .agg(F.count(F.when(F.col("side") == "r", 1)).alias("r"), F.count(F.when(F.col("side") == "s", 1)).alias("s")))
+    return _tv(counted.select(name.alias("column_name"), "r", "s", F.lit(1).cast("bigint").alias("k")), columns)
 
 
 def tv_categorical(real: DataFrame, syn: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -143,28 +165,27 @@ def tv_categorical(real: DataFrame, syn: DataFrame, columns: Sequence[str]) -> D
     if not columns:
         return real.sparkSession.createDataFrame([], "column_name string, tv double")
     pairs = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns]
-    return _tv(_long_counts(real, pairs, "r"), _long_counts(syn, pairs, "s"), columns)
+    values = _long_values(real, pairs, "r").unionByName(_long_values(syn, pairs, "s"))
+    return _tv(_alike(values, ["column_name", "value"]), columns)
 
 
-def _long_counts(df: DataFrame, pairs: list[Column], side: str) -> DataFrame:
+def _long_values(df: DataFrame, pairs: list[Column], side: str) -> DataFrame:
     empty = F.array().cast("array<struct<column_name:string,value:string>>")
     return (df.select(F.inline(F.array(*pairs) if pairs else empty)).filter(F.col("value").isNotNull())
-            .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
             .withColumn("side", F.lit(side)))
 
 
-def _tv(r: DataFrame, s: DataFrame, columns: Sequence[str]) -> DataFrame:
-    both = (r.unionByName(s).groupBy("column_name", "value")
-            .agg(F.sum(F.when(F.col("side") == "r", F.col("n")).otherwise(0)).alias("r"),
-                 F.sum(F.when(F.col("side") == "s", F.col("n")).otherwise(0)).alias("s")))
-    totals = both.groupBy("column_name").agg(F.sum("r").alias("rt"), F.sum("s").alias("st"))
+def _tv(alike: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, tv) from (column_name, r, s, k): k values with r rows on one side and s on the other."""
+    rt, st = F.sum(F.col("r") * F.col("k")), F.sum(F.col("s") * F.col("k"))
+    totals = alike.groupBy("column_name").agg(rt.alias("rt"), st.alias("st"))
     rt, st = F.col("rt"), F.col("st")
     gap = F.abs(F.coalesce(F.col("r") / F.nullif(rt, F.lit(0)), F.lit(0.0))
                 - F.coalesce(F.col("s") / F.nullif(st, F.lit(0)), F.lit(0.0)))
-    per = (both.join(F.broadcast(totals), "column_name").groupBy("column_name")
-           .agg(F.when((F.first(rt) > 0) & (F.first(st) > 0), 0.5 * F.sum(gap)).otherwise(1.0).alias("tv")))
+    per = (alike.join(F.broadcast(totals), "column_name").groupBy("column_name")
+           .agg(F.when((F.first(rt) > 0) & (F.first(st) > 0), 0.5 * F.sum(gap * F.col("k"))).otherwise(1.0).alias("tv")))
     names = F.explode(F.array(*[F.lit(c) for c in columns])).alias("column_name")
-    every = r.sparkSession.range(1).select(names)
+    every = alike.sparkSession.range(1).select(names)
     return every.join(per, "column_name", "left")
 
 
@@ -249,16 +270,20 @@ def query_errors(real: Tables, syn: Tables, schema: RelationalSchema, plan: Sequ
                                     "columns string, qtype string, copies int")
         frames.append(errors.join(F.broadcast(ask), "columns").select(
             "qtype", F.concat(F.lit(f"{name}: "), "columns").alias("query"), "error", "copies"))
+    asked: dict = {}
     for q in plan:
         fk = next((f for f in schema.foreign_keys if f.label == q.table), None)
-        if q.qtype != "cross_table" or fk is None or not _answerable(fk, q, real, syn):
-            continue
-        values = [_cross_value(fk, q, side) for side in (real, syn)]
-        both = values[0].select(F.col("value").cast("double").alias("r"), values[1].scalar().cast("double").alias("s"))
-        frames.append(both.select(F.lit("cross_table").alias("qtype"),
-                                  F.lit(f"{fk.label} {' '.join(q.columns)}").alias("query"),
-                                  relative_error(F.col("r"), F.col("s")).alias("error"),
-                                  F.lit(q.copies).alias("copies")))
+        if q.qtype == "cross_table" and fk is not None and _answerable(fk, q, real, syn):
+            asked.setdefault(fk, []).append(q)
+    for fk, qs in asked.items():
+        measures = [q.columns[0] if q.columns else None for q in qs]
+        r, s = (cross_values(side[fk.child_table], fk.child_col, side[fk.parent_table], fk.parent_col, measures)
+                for side in (real, syn))
+        both = r.crossJoin(s.withColumnRenamed("values", "others"))
+        frames.append(both.select(F.inline(F.array(*[
+            F.struct(F.lit("cross_table").alias("qtype"), F.lit(f"{fk.label} {' '.join(q.columns)}").alias("query"),
+                     relative_error(F.col("values")[i], F.col("others")[i]).alias("error"), F.lit(q.copies).alias("copies"))
+            for i, q in enumerate(qs)]))))
     if not frames:
         return spark.createDataFrame([], "qtype string, query string, error double, copies int")
     return union_all(frames).filter(F.col("error").isNotNull())
@@ -270,13 +295,6 @@ def _answerable(fk, q: PlannedQuery, real: Tables, syn: Tables) -> bool:
                and {fk.parent_col, *q.columns} <= set(side[fk.parent_table].columns) for side in (real, syn))
 
 
-def _cross_value(fk, q: PlannedQuery, side: Tables) -> DataFrame:
-    child, parent = side[fk.child_table], side[fk.parent_table]
-    if q.columns:
-        return cross_mean(child, fk.child_col, parent, fk.parent_col, q.columns[0])
-    return cross_count(child, fk.child_col, parent, fk.parent_col)
-
-
 def error_summary(errors: DataFrame, query_types: Sequence[str]) -> DataFrame:
     """(metric, value): mean error per query type and over all; null for a type without answers."""
     w = F.sum(F.col("error") * F.col("copies")) / F.sum("copies")
