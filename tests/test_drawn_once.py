@@ -71,3 +71,16 @@ def test_errors_of_keys_with_equal_counts(spark):
         if name in tv:
             assert abs(tv[name] - sum(gaps) / 2) < 1e-12
     assert [r["error"] for r in kway_errors(real.limit(0), syn, [["p"]]).collect()] == [None]
+
+
+def test_answers_of_many_vectors_are_not_broadcast(spark, monkeypatch):
+    """Found parents go to all tasks only within the bytes that may be broadcast, counted by rows of that width."""
+    from veilspark.operators import nearest
+    kids = spark.range(60).select("id", (F.col("id") * 1.5).alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    folks = spark.range(40).select(F.col("id").alias("pid"), (F.col("id") * 2.0).alias("x"), (F.col("id") % 5).cast("double").alias("y"))
+    wide = nearest.nearest_parents(kids, "id", folks, "pid", ["x", "y"])
+    monkeypatch.setattr(nearest, "BROADCAST_BYTES", 48 * 59)
+    bounded = nearest.nearest_parents(kids, "id", folks, "pid", ["x", "y"])
+    assert "broadcast" in wide._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" not in bounded._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, bounded.collect()))

@@ -214,4 +214,4 @@ def nearest_parents(children: DataFrame, child_id: str, parents: DataFrame, pare
         top = met.select(*fs, F.slice(F.array_sort(told), 1, k).alias("_top")).groupBy(*fs).agg(F.flatten(F.collect_list("_top")).alias("_top"))
         best = top.select(*fs, F.posexplode(F.slice(F.array_sort("_top"), 1, k)).alias("_pos", "_t"))
     ranked = cut(best.select(*fs, F.col("_t.id").alias("parent_id"), F.sqrt("_t.d").alias("distance"), (F.col("_pos") + 1).alias("rank")))
-    return kids.join(small_side(ranked), fs).select(child_id, "parent_id", "distance", "rank")
+    return kids.join(small_side(ranked, BROADCAST_BYTES // (8 * (len(fs) + 4))), fs).select(child_id, "parent_id", "distance", "rank")
