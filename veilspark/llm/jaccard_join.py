@@ -5,12 +5,12 @@ A document is the set of its word shingles.  In each run a set goes to the bucke
 similarity).  Buckets of at most ``limit`` sets are compared pair by pair; larger ones are split again
 by the next sampled token, up to ``depth`` times.  Runs repeat until a pair at the threshold is found
 with probability ``recall`` at two splits; sets whose buckets are larger after these get the further runs
-that ``depth`` splits take.  What no split makes small are sets that agree nearly
-everywhere: at every split each set of a large bucket is also compared with a pivot of its bucket, so
-such groups are joined by stars instead of all their pairs.  Sets that resemble their pivot but are not
-joined with it get further pivots of their bucket, round after round, until no more of them are joined.
-A set's number of links therefore counts all its links to sets it met in small buckets, and those to
-pivots otherwise.  All candidates are checked exactly, by the Jaccard similarity of their whole shingle sets.
+that ``depth`` splits take.  What no split makes small are crowds, sets that agree nearly everywhere.
+Crowds with common members are one, and all pairs of a crowd are compared exactly: its sets are dealt out
+to blocks of about ``block``, each pair of blocks is one matrix product of sets by tokens, and a task
+holds two blocks.  Such a pair of blocks gives each set's number of links and a tree of links, so the links
+of a crowd are counted, all of them, but never listed.  All other candidates are checked exactly, by the
+Jaccard similarity of their whole shingle sets.
 
 Equal word sequences are one class from the start: copies share a row from then on.  Buckets are
 counted before rows are gathered, so no task ever holds more than ``limit`` sets of one bucket.
@@ -21,7 +21,6 @@ text) get equal rows; an empty table stays empty; extra columns survive in ``one
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 from functools import reduce
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from veilspark.functions.scaling import cut
 
 from .columns import document_key
-from .components import components, merged
+from .components import components
 from .words import ALNUM, blocks, hash_words, raw_texts, shingles
 
 SHINGLE = 5
@@ -44,6 +43,8 @@ RECALL = 0.9999
 DEPTH = 5
 LIMIT = 64
 MARGIN = 0.22
+BLOCK = 256
+TOKENS_AT_A_TIME = 8192
 
 
 def runs_for(threshold: float, recall: float, splits: int = 2) -> int:
@@ -89,7 +90,10 @@ def bucketed(rows: DataFrame) -> DataFrame:
 
 
 def compared(small: DataFrame, coords: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of small buckets whose sampled tokens agree often enough to be candidates."""
+    """Pairs (a, b) of small buckets whose sampled tokens agree often enough to be candidates.
+
+    ``coords`` are (class, coords, crowd); pairs of one crowd are left out, as all of them are compared there.
+    """
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = [], []
@@ -98,47 +102,28 @@ def compared(small: DataFrame, coords: DataFrame, least: float) -> DataFrame:
                 matrix = np.array([m["coords"] for m in members], np.int32)
                 for i in range(len(members) - 1):
                     for j in np.flatnonzero((matrix[i + 1:] == matrix[i]).mean(axis=1) >= least) + i + 1:
-                        left.append(members[i]["class"])
-                        right.append(members[j]["class"])
+                        if members[i]["crowd"] is None or members[i]["crowd"] != members[j]["crowd"]:
+                            left.append(members[i]["class"])
+                            right.append(members[j]["class"])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
-    gathered = small.join(coords, "class").groupBy("path").agg(F.collect_list(F.struct("class", "coords")).alias("members"))
+    gathered = small.join(coords, "class").groupBy("path").agg(F.collect_list(F.struct("class", "coords", "crowd")).alias("members"))
     return gathered.select("members").mapInArrow(pairs, "a binary, b binary")
 
 
-def pivoted(large: DataFrame, level: int) -> DataFrame:
-    """Pairs of every set in a large bucket with the bucket's pivot.
-
-    The pivot is the least set under an order of the level, so buckets with much the same sets, as a
-    group has in all runs, have the same pivot, and a set meets one or few pivots in each level.
-    """
-    chosen = large.groupBy("path").agg(F.min_by("class", F.xxhash64("class", F.lit(level))).alias("pivot"))
-    pairs = large.join(chosen, "path").filter("class <> pivot")
-    return pairs.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
-
-
-def likely(pairs: DataFrame, coords: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sampled tokens agree often enough to be candidates."""
-    both = (pairs.join(coords.select(F.col("class").alias("a"), F.col("coords").alias("left")), "a")
-            .join(coords.select(F.col("class").alias("b"), F.col("coords").alias("right")), "b"))
-    same = F.size(F.filter(F.zip_with("left", "right", lambda x, y: x == y), lambda equal: equal))
-    return both.select("a", "b", (same / F.size("left")).alias("share")).filter(F.col("share") >= least)
-
-
 def candidates(classes: DataFrame, threshold: float, recall: float, depth: int = DEPTH,
-               limit: int = LIMIT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Distinct candidate pairs (a, b), a < b, of classes (class, coords); those with pivots among them;
-    and (class, path) of the large buckets' sets that have such pairs."""
+               limit: int = LIMIT) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct candidate pairs (a, b), a < b, of classes (class, coords), and (node, root) of the crowds, whose
+    pairs are left out of the candidates; none if no bucket is large after all splits."""
     runs, least = runs_for(threshold, recall), max(0.0, threshold - MARGIN)
     sampled = classes.select("class", F.slice("coords", 1, runs * depth).alias("coords"))
-    small, stars, crowds, start, taking = [], [], classes.limit(0).select("class", F.lit(0).cast("long").alias("path")), 0, classes
+    small, crowds, start, taking = [], classes.limit(0).select("class", F.lit(0).cast("long").alias("path")), 0, classes
     for splits in sorted({min(2, depth), depth}):
         # Sets whose buckets are too large after two splits get the runs that all splits take.
         stop, deep = runs_for(threshold, recall, splits), None
         token = F.get("coords", F.col("run") * depth)
         rows = bucketed(taking.select("class", "coords", F.explode(F.sequence(F.lit(start), F.lit(stop - 1))).alias("run"))
                         .select("class", "run", F.xxhash64("run", token).alias("path")))
-        crowds = crowds.union(rows.filter(F.col("n") > limit).select("class", "path"))
         for level in range(1, depth + 1):
             small.append(rows.filter(F.col("n") <= limit).select("class", "path"))
             large = rows.filter(F.col("n") > limit).drop("n")
@@ -146,8 +131,9 @@ def candidates(classes: DataFrame, threshold: float, recall: float, depth: int =
                 deep = large.select("class").distinct()
             if large.isEmpty():
                 break
-            stars.append(pivoted(large, level))
-            if level < depth:
+            if level == depth:
+                crowds = crowds.union(large.select("class", "path"))
+            else:
                 token = F.get("coords", F.col("run") * depth + level)
                 rows = bucketed(large.join(classes, "class").select("class", "run", F.xxhash64("path", token).alias("path")))
         start = stop
@@ -156,38 +142,101 @@ def candidates(classes: DataFrame, threshold: float, recall: float, depth: int =
         taking = cut(taking.join(deep, "class", "left_semi"))
         if taking.isEmpty():
             break
-    classes = sampled
-    pairs = compared(reduce(DataFrame.union, small), classes, least)
-    if not stars:
-        return cut(pairs.distinct()), pairs.limit(0).withColumn("share", F.lit(0.0)), crowds.limit(0)
-    with_pivots = cut(likely(cut(reduce(DataFrame.union, stars).distinct()), classes, least))
-    return cut(pairs.union(with_pivots.select("a", "b")).distinct()), with_pivots, cut(crowds.join(ends_of(with_pivots), "class", "left_semi"))
+    crowd = None if crowds.isEmpty() else crowded(crowds)
+    known = F.lit(None).cast("binary") if crowd is None else F.col("crowd")
+    if crowd is not None:
+        sampled = sampled.join(crowd.select(F.col("node").alias("class"), F.col("root").alias("crowd")), "class", "left")
+    sampled = sampled.select("class", "coords", known.alias("crowd"))
+    return cut(compared(reduce(DataFrame.union, small), sampled, least).distinct()), crowd
+
+
+def crowded(crowds: DataFrame) -> DataFrame:
+    """(node, root): the crowd of each class; buckets (class, path) with common members are one crowd."""
+    least = crowds.groupBy("path").agg(F.min("class").alias("b"))
+    return components(crowds.join(least, "path").filter(F.col("class") != F.col("b")).select(F.col("class").alias("a"), "b").distinct())
+
+
+def shared_tokens(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common tokens of all sets on the left with all on the right."""
+    tokens, found = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    rows = [np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (left, right)]
+    places = np.split(found, [len(rows[0])])
+    both = np.zeros((len(left), len(right)), np.int64)
+    for start in range(0, len(tokens), TOKENS_AT_A_TIME):
+        parts = []
+        for side, row, place in zip((left, right), rows, places):
+            inside = (place >= start) & (place < start + TOKENS_AT_A_TIME)
+            part = np.zeros((len(side), min(TOKENS_AT_A_TIME, len(tokens) - start)), np.float32)
+            part[row[inside], place[inside] - start] = 1
+            parts.append(part)
+        both += (parts[0] @ parts[1].T).astype(np.int64)
+    return both
+
+
+def tree_of(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links (i, j) that connect what the matrix of links connects, at most one less than there are sets."""
+    edges, rows, columns = [], set(range(linked.shape[0])), np.ones(linked.shape[1], bool)
+    while rows:
+        stack = [rows.pop()]
+        while stack:
+            i = stack.pop()
+            for j in np.flatnonzero(linked[i] & columns):
+                columns[j] = False
+                edges.append((i, int(j)))
+                for other in np.flatnonzero(linked[:, j]):
+                    if int(other) in rows:
+                        rows.remove(int(other))
+                        edges.append((int(other), int(j)))
+                        stack.append(int(other))
+    return edges
+
+
+def linked_blocks(crowd: DataFrame, tokens: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(a, b, n): of all pairs of a crowd (node, root), ``n`` links more of class ``a``, or a link of the trees (n null)."""
+    sizes = crowd.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    dealt = (crowd.join(sizes, "root").withColumn("parts", F.ceil(F.col("n") / block))
+             .withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts"))))
+    blocks = dealt.join(tokens, dealt["node"] == tokens["class"]).select("root", "part", "parts", "class", "tokens")
+    met = (blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+           .select("root", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "class", "tokens"))
+    pairs = (met.groupBy("root", "lo", "hi")
+             .agg(*[F.collect_list(F.when(F.col("part") == F.col(side), F.struct("class", "tokens"))).alias(side + "_sets")
+                    for side in ("lo", "hi")]))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                lo, hi, left, right = (c[i].as_py() for c in batch.columns)
+                right = left if lo == hi else right
+                names = [[m["class"] for m in side] for side in (left, right)]
+                sets = [[unpacked(m["tokens"]) for m in side] for side in (left, right)]
+                if not sets[0] or not sets[1]:
+                    continue
+                sizes = [np.array([len(x) for x in side]) for side in sets]
+                both = shared_tokens(*sets)
+                linked = both / np.maximum(sizes[0][:, None] + sizes[1] - both, 1) >= threshold - 1e-9
+                if lo == hi:
+                    np.fill_diagonal(linked, False)
+                counts = [linked.sum(axis=1), linked.sum(axis=0)][:1 + (lo != hi)]
+                a, n = [], []
+                for side, count in zip(names, counts):
+                    some = np.flatnonzero(count)
+                    a += [side[k] for k in some]
+                    n += count[some].tolist()
+                b = [None] * len(a)
+                for x, y in tree_of(linked):
+                    a.append(names[0][x])
+                    b.append(names[1][y])
+                    n.append(None)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())], ["a", "b", "n"])
+
+    return cut(pairs.select("lo", "hi", "lo_sets", "hi_sets").mapInArrow(compare, "a binary, b binary, n long"))
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
 
 
-def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose classes are in different groups."""
-    of = {x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"}
-    return (pairs.join(of["a"], "a", "left").join(of["b"], "b", "left")
-            .filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b"))
-
-
-def further(crowds: DataFrame, stars: DataFrame, roots: DataFrame, turn: int, pivots: int = 24) -> DataFrame:
-    """Pairs of sets that resemble a pivot but are in another group with further pivots of a bucket of theirs.
-
-    A group has much the same sets in its buckets of all runs, so one of them, another in each turn, will do.
-    """
-    rest = (crowds.join(ends_of(apart(stars, roots)), "class", "left_semi")
-            .groupBy("class").agg(F.min_by("path", F.xxhash64("path", F.lit(turn))).alias("path")))
-    chosen = crowds.groupBy("path").agg(F.array_distinct(F.array(*[
-        F.min_by("class", F.xxhash64("class", F.lit(turn), F.lit(i))) for i in range(pivots)])).alias("pivots"))
-    pairs = rest.join(chosen, "path").select("class", F.explode("pivots").alias("pivot")).filter("class <> pivot")
-    return pairs.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
-
-
 def packed(tokens: np.ndarray) -> bytes:
     """The distinct tokens of a set, 40 bits each: enough to tell those of two texts apart."""
     return np.unique(tokens & np.uint64((1 << 40) - 1)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
@@ -234,40 +283,38 @@ def verified(pairs: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, k: int = SHINGLE,
-         depth: int = DEPTH, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
-    """Documents with their class and group, and the links between classes.
+         depth: int = DEPTH, limit: int = LIMIT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Documents with their class and group, and the number of links of each class that has one.
 
     Returns (doc_key, doc_id, class, root, first, copies) per row of docs(doc_id, text): ``root`` names
-    the group of linked classes and ``first`` is its least document key; and (a, b, similarity).
+    the group of linked classes and ``first`` is its least document key; and (class, n_links).
     """
     keyed = docs.select(document_key().alias("doc_key"), "doc_id", "text")
     signed = cut(signatures(keyed, runs_for(threshold, recall, max(2, depth)) * depth, k))
     classes = cut(signed.groupBy("class").agg(F.min("doc_key").alias("first"), F.count(F.lit(1)).alias("copies"),
                                               F.first("coords").alias("coords")))
     coords = classes.filter("coords IS NOT NULL").select("class", "coords")
-    pairs, stars, crowds = candidates(coords, threshold, recall, depth, limit)
-    first = classes.join(ends_of(pairs), "class").select("class", F.col("first").alias("doc_key"))
+    pairs, crowd = candidates(coords, threshold, recall, depth, limit)
+    met = ends_of(pairs) if crowd is None else ends_of(pairs).union(crowd.select("node")).distinct()
+    first = classes.join(met, "class").select("class", F.col("first").alias("doc_key"))
     texts = keyed.join(first, "doc_key").dropDuplicates(["class"]).select("class", "text")
     tokens = cut(token_sets(texts, k))
-    links = verified(pairs, tokens, threshold)
+    links = verified(pairs, tokens, threshold).select("a", "b")
+    counts = links.select(F.col("a").alias("class"), F.lit(1).alias("n")).union(links.select("b", F.lit(1)))
+    if crowd is not None:
+        inside = linked_blocks(crowd, tokens, threshold, block)
+        links = links.union(inside.filter("n IS NULL").select("a", "b"))
+        counts = counts.union(inside.filter("n IS NOT NULL").select("a", "n"))
     roots = components(links)
-    sampled = coords.select("class", F.slice("coords", 1, runs_for(threshold, recall) * depth).alias("coords"))
-    for turn in itertools.count() if not stars.isEmpty() else ():
-        more = likely(further(crowds, stars, roots, turn), sampled, threshold - MARGIN).select("a", "b")
-        new = verified(more.join(links, ["a", "b"], "left_anti"), tokens, threshold)
-        if apart(new, roots).isEmpty():
-            break
-        links, roots = links.union(new), merged(roots, new)
     grouped = classes.join(roots, classes["class"] == roots["node"], "left").withColumn("root", F.coalesce("root", "class"))
     least = grouped.groupBy("root").agg(F.min("first").alias("least"))
     named = cut(grouped.join(least, "root").select("class", "root", F.col("least").alias("first"), "copies"))
-    return signed.drop("coords").join(named, "class"), links
+    return signed.drop("coords").join(named, "class"), counts.groupBy("class").agg(F.sum("n").alias("n_links"))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, class_id (the group's first doc_id), copies of its text and links to different texts."""
-    members, links = join(docs, **options)
-    degree = links.select(F.col("a").alias("class")).union(links.select("b")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
+    members, degree = join(docs, **options)
     return (members.join(degree, "class", "left")
             .select("doc_id", F.col("first.id").alias("class_id"), "copies", F.coalesce("n_links", F.lit(0)).alias("n_links")))
 
