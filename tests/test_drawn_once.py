@@ -84,3 +84,20 @@ def test_answers_of_many_vectors_are_not_broadcast(spark, monkeypatch):
     assert "broadcast" in wide._jdf.queryExecution().analyzed().toString()
     assert "broadcast" not in bounded._jdf.queryExecution().analyzed().toString()
     assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, bounded.collect()))
+
+
+def test_synthetic_tables_are_written_once_and_read_by_column(spark):
+    """A synthesis stores its tables by columns, and a measured run scores those tables instead of copies."""
+    from veilspark.plans.experiments import Run, measured
+    from veilspark.plans.synthesis import Settings, synthesize
+    real = {"a": spark.range(1, 40).select("id", (F.col("id") % 7).alias("x")),
+            "b": spark.range(90).select((F.col("id") % 39 + 1).alias("a_id"), F.concat(F.lit("v"), F.col("id") % 4).alias("y"))}
+    schema, settings, scored = parse_schema(SCHEMA), Settings(num_queries=10, num_bins=4, max_parents=1), []
+    made = synthesize(real, schema, settings).tables
+    assert "ReadSchema: struct<a_id:bigint>" in made["b"].select("a_id")._jdf.queryExecution().executedPlan().toString()
+
+    def score(_, syn, __):
+        scored.append(syn)
+        return spark.createDataFrame([("s", "m", 1.0)], "scope string, metric string, value double")
+    rows = measured(Run({"n": 1}, lambda: made, real, schema, settings, 1), score).collect()
+    assert scored[0]["b"] is made["b"] and rows[0]["metric"] == "s.m"

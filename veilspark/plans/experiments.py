@@ -30,7 +30,7 @@ def methods(s: Settings) -> dict[str, Settings]:
 
 @dataclass(frozen=True)
 class Run:
-    """One synthesis to be measured: ``make`` gives its tables, ``inputs`` is what they depend on
+    """One synthesis to be measured: ``make`` gives its tables, materialised, ``inputs`` is what they depend on
     besides the tags, for telling a committed run from one with other options."""
 
     tags: Mapping
@@ -51,7 +51,7 @@ def measured(run: Run, score: Score | None = None, **evaluation) -> DataFrame:
     ``score`` (real, synthetic, schema) gives the rows (scope, metric, value); by default the full report.
     """
     begin = time.monotonic()
-    syn = {n: cut(df) for n, df in run.make().items()}
+    syn = run.make()
     seconds = round(time.monotonic() - begin, 2)
     report = (score(run.real, syn, run.schema) if score else
               evaluate_all(run.real, syn, run.schema, run.settings.num_queries, run.settings.query_types, seed=run.seed, **evaluation))
