@@ -89,7 +89,8 @@ def assign_one_to_one(rows: DataFrame, row_id: str, parents: DataFrame, parent_i
     ordinal = dense_ordinal(parents.select(F.col(parent_id).alias("_pk"), *features), ["_pk", *features], "_pord")
     ordinal = cut(ordinal)
     n_parents = ordinal.count()
-    batched = cut(number_batches(rows, row_id, batch_size).select(row_id, "batch", *features))
+    rows = cut(rows.select(row_id, *features))  # numbering reads its rows twice
+    batched = cut(number_batches(rows, row_id, batch_size))
     if n_parents < batch_size:
         sizes = batched.groupBy("batch").count()
         crowded = cut(batched.join(sizes.filter(F.col("count") > n_parents), "batch", "left_semi"))

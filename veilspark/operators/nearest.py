@@ -199,7 +199,10 @@ def nearest_parents(children: DataFrame, child_id: str, parents: DataFrame, pare
             asked = batch.take(pa.array(rows))
             yield pa.RecordBatch.from_arrays([*asked.columns, pa.array(found)], [*fs, "_cell"])
 
-    vectors = kids.select(*fs).distinct()
+    # vectors take few bytes but much searching: left to their size they would be one task's work; dealt by the
+    # columns themselves, as the distinct rows are already, they would stay where they are
+    parts = int(kids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vectors = kids.select(*fs).distinct().repartition(parts, F.xxhash64(*fs))
     asked = vectors.mapInArrow(reach, ", ".join([*(f"{f} double" for f in fs), "_cell long"]))
     if n * 8 * (len(fs) + 2) <= BROADCAST_BYTES:
         met = asked.join(F.broadcast(cells), "_cell")
