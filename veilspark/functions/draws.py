@@ -16,6 +16,7 @@ release, ``seed`` must be a fresh secret that is thrown away afterwards.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -195,3 +196,54 @@ def normal_cdf_of(x: np.ndarray) -> np.ndarray:
     far = size + 1 / (size + 2 / (size + 3 / (size + 4 / (size + 0.65))))
     below = np.where(size < 7.07, bell * np.polyval(CDF_TOP, size) / np.polyval(CDF_BOTTOM, size), bell / far / 2.506628274631)
     return np.where(x > 0, 1 - below, below)
+
+
+# Fixed values of MD5 (RFC 1321): sines as 32-bit words, rotations, and which word of the block a step takes.
+MD5_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+MD5_TURNS = [t for turns in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for _ in range(4) for t in turns]
+MD5_WORDS = [(i, 5 * i + 1, 3 * i + 5, 7 * i)[i // 16] % 16 for i in range(64)]
+MD5_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+BLOCK_BYTES = 55
+"""Longest text that is one block of MD5."""
+
+
+def md5_heads(block: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The first 52 bits of the MD5 of texts, rows of 64 bytes of which ``sizes`` (at most 55) count and the rest are 0."""
+    block[np.arange(len(block)), sizes] = 0x80
+    words = np.ascontiguousarray(block.view("<u4").T)
+    words[14] = sizes * 8
+    a, b, c, d = (np.full(len(block), x, np.uint32) for x in MD5_START)
+    for i in range(64):
+        if i < 16:
+            f = d ^ (b & (c ^ d))
+        elif i < 32:
+            f = c ^ (d & (b ^ c))
+        elif i < 48:
+            f = b ^ c ^ d
+        else:
+            f = c ^ (b | ~d)
+        f += a
+        f += words[MD5_WORDS[i]]
+        f += np.uint32(MD5_SINES[i])
+        turn = np.uint32(MD5_TURNS[i])
+        a, d, c, b = d, c, b, b + (f << turn | f >> (np.uint32(32) - turn))
+    first, second = ((x + np.uint32(s)).byteswap().astype(np.uint64) for x, s in ((a, MD5_START[0]), (b, MD5_START[1])))
+    return (first << np.uint64(32) | second) >> np.uint64(12)
+
+
+def uniforms_of(draws: Draws, ids: np.ndarray, keys: Sequence[Sequence]) -> list[np.ndarray]:
+    """``draws.uniform(*key, id)`` by MD5 of a batch of whole numbers, for each key; a text longer than a block is hashed by itself."""
+    tails = np.array([b"%d" % i for i in ids.tolist()], "S")
+    digits, lengths = tails.view(np.uint8).reshape(len(ids), -1), np.char.str_len(tails)
+    out = []
+    for key in keys:
+        head = ":".join(map(str, (draws.seed, *key, ""))).encode()
+        if len(head) + digits.shape[1] > BLOCK_BYTES:
+            bits = np.array([int(hashlib.md5(head + t).hexdigest()[:13], 16) for t in tails.tolist()], np.uint64)
+        else:
+            block = np.zeros((len(ids), 64), np.uint8)
+            block[:, :len(head)] = np.frombuffer(head, np.uint8)
+            block[:, len(head):len(head) + digits.shape[1]] = digits
+            bits = md5_heads(block, lengths + len(head))
+        out.append((bits.astype(float) + 0.5) / TWO_52)
+    return out

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.draws import Draws, box_muller, normal_cdf_of, normal_quantile
+from ..functions.draws import Draws, box_muller, normal_cdf_of, normal_quantile, uniforms_of
 from ..functions.scaling import cut, dense_ordinal, in_threads, row_ids, running_total
 from .marginals import all_pairs
 from .sample import look_up
@@ -126,35 +126,39 @@ def nearest_correlation(matrix: np.ndarray) -> np.ndarray:
     return fixed / np.outer(scale, scale)
 
 
-def positions(copula: Copula, u: DataFrame) -> DataFrame:
-    """(_rid, _p0, _p1..) of rows (_rid, _u0, _u1..): the position of each column among its rows, below 0 for a null.
+def positions(copula: Copula, rows: DataFrame, draws: Draws, scope: str = "") -> DataFrame:
+    """(_rid, _p0, _p1..) of rows (_rid): the position of each column among its rows, below 0 for a null.
 
-    Normals, mixing and ranks are worked out a batch at a time: as column expressions they make one method that is too
-    long for the compiler of the machine.
+    Draws, normals, mixing and ranks are worked out a batch at a time: as column expressions the latter make one method
+    that is too long for the compiler of the machine, and MD5 draws take several times as long.
     """
     k = len(copula.columns)
     factor = np.linalg.cholesky(copula.correlation * (1 - 1e-9) + 1e-9 * np.eye(k))
     facts = [copula.facts[c] for c in copula.columns]
+    keys = [("copula", scope, i) for i in range(k + k % 2)]
+    by_batch = draws.generator == "md5"
+    if not by_batch:
+        rows = rows.select("_rid", *[draws.uniform(*key, F.col("_rid")).alias(f"_u{i}") for i, key in enumerate(keys)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            draws = [batch.column(1 + i).to_numpy() for i in range(k + k % 2)]
-            normals = [z for i in range(0, k, 2) for z in box_muller(draws[i], draws[i + 1])]
+            rids = batch.column(0)
+            drawn = uniforms_of(draws, rids.to_numpy(), keys) if by_batch else [c.to_numpy() for c in batch.columns[1:]]
+            normals = [z for i in range(0, k, 2) for z in box_muller(drawn[i], drawn[i + 1])]
             places = []
-            for i, (rows, nulls, _) in enumerate(facts):
+            for i, (n, nulls, _) in enumerate(facts):
                 mixed = sum(factor[i, j] * normals[j] for j in range(i + 1))
-                places.append(pa.array(np.minimum(np.floor(normal_cdf_of(mixed) * rows), rows - 1).astype(np.int64) - nulls))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *places], ["_rid", *(f"_p{i}" for i in range(k))])
+                places.append(pa.array(np.minimum(np.floor(normal_cdf_of(mixed) * n), n - 1).astype(np.int64) - nulls))
+            yield pa.RecordBatch.from_arrays([rids, *places], ["_rid", *(f"_p{i}" for i in range(k))])
 
-    return u.mapInArrow(run, ", ".join(["_rid long", *(f"_p{i} long" for i in range(k))]))
+    return rows.mapInArrow(run, ", ".join(["_rid long", *(f"_p{i} long" for i in range(k))]))
 
 
 def sample_copula(spark: SparkSession, copula: Copula, n: int, draws: Draws, scope: str = "") -> DataFrame:
     """``n`` rows with ``_rid`` 1..n: independent normals, mixed by the Cholesky factor, taken
     back through each column's own distribution."""
     k = len(copula.columns)
-    out = positions(copula, row_ids(spark, n).select("_rid", *[
-        draws.uniform("copula", scope, i, F.col("_rid")).alias(f"_u{i}") for i in range(k + k % 2)]))
+    out = positions(copula, row_ids(spark, n), draws, scope)
     # columns that are met by shuffle come first, while the rows hold little more than numbers
     for i in sorted(range(k), key=lambda i: copula.columns[i] in copula.small):
         c = copula.columns[i]
