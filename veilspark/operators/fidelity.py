@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.keys import comparable
 from ..schema import NUMERICAL, RelationalSchema, Table
@@ -47,21 +48,53 @@ def kway_error(real: DataFrame, syn: DataFrame, columns: Sequence[str]) -> DataF
 
 def kway_errors(real: DataFrame, syn: DataFrame, column_sets: Sequence[Sequence[str]]) -> DataFrame:
     """(columns, cells, error) of many column sets: each side is scanned once, and one shuffle
-    carries the partial counts of all sets."""
-    def cells(df, side):
-        keyed = F.array(*[
-            F.struct(F.lit("|".join(cs)).alias("columns"),
-                     F.when(~_any_null(cs), F.array(*[F.col(c).cast("string") for c in cs])).alias("key"))
-            for cs in column_sets])
-        return df.select(F.inline(keyed)).filter(F.col("key").isNotNull()).withColumn("side", F.lit(side))
-    cells_alike = _alike(cells(real, "r").unionByName(cells(syn, "s")), ["columns", "key"])
-    totals = cells_alike.groupBy("columns").agg(F.sum(F.col("r") * F.col("k")).alias("rt"),
-                                                F.greatest(F.sum(F.col("s") * F.col("k")), F.lit(1)).alias("st"))
+    carries the partial counts of all sets.
+
+    The sets are grouping sets, so keys keep their types where both sides agree in one that compares like its text.
+    """
+    names: dict[frozenset, list[str]] = {}
+    for cs in column_sets:
+        names.setdefault(frozenset(cs), []).append("|".join(cs))
+    cells_alike = union_all([_cells_alike(real, syn, part) for part in _narrow(names)])
+    mine = Window.partitionBy("columns")
+    totals = cells_alike.withColumns({"rt": F.sum(F.col("r") * F.col("k")).over(mine),
+                                      "st": F.greatest(F.sum(F.col("s") * F.col("k")).over(mine), F.lit(1))})
     gap = F.abs(F.try_divide("r", "rt") - F.col("s") / F.col("st"))
-    return (cells_alike.join(F.broadcast(totals), "columns").groupBy("columns")
+    return (totals.groupBy("columns")
             .agg(F.sum("k").alias("cells"), (F.sum(gap * F.col("k")) / F.sum(F.when(gap.isNotNull(), F.col("k")))).alias("error")))
 
 
+def _narrow(names: dict[frozenset, list[str]]) -> list[dict[frozenset, list[str]]]:
+    """The sets in parts of at most 60 columns, as a grouping id has 64 bits."""
+    parts: list[dict[frozenset, list[str]]] = [{}]
+    for cs, told in names.items():
+        if parts[-1] and len(cs.union(*parts[-1])) > 60:
+            parts.append({})
+        parts[-1][cs] = told
+    return parts
+
+
+def _cells_alike(real: DataFrame, syn: DataFrame, names: dict[frozenset, list[str]]) -> DataFrame:
+    """(columns, r, s, k): how many cells of each set of columns occur r times in real and s times in syn; ``names`` has the names of a set."""
+    columns = sorted(frozenset().union(*names))
+    keys = {c: f"_k{i}" for i, c in enumerate(columns)}
+
+    def side(df, name):
+        plain = [isinstance(real.schema[c].dataType, (T.IntegralType, T.StringType, T.DateType)) and real.schema[c].dataType == syn.schema[c].dataType
+                 for c in columns]
+        return df.select(*[(F.col(c) if p else F.col(c).cast("string")).alias(keys[c]) for c, p in zip(columns, plain)], F.lit(name).alias("side"))
+
+    counted = (side(real, "r").unionByName(side(syn, "s")).groupingSets([[F.col(keys[c]) for c in sorted(cs)] for cs in names], *keys.values())
+               .agg(F.grouping_id().alias("_set"), F.count(F.when(F.col("side") == "r", 1)).alias("r"), F.count(F.when(F.col("side") == "s", 1)).alias("s")))
+    told, whole = F.lit(None), F.lit(False)
+    for cs, mine in names.items():
+        this = F.col("_set") == sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in cs)
+        told = F.when(this, F.array(*map(F.lit, mine))).otherwise(told)
+        whole = whole | (this & ~_any_null([keys[c] for c in sorted(cs)]))
+    return (counted.filter(whole).groupBy("_set", "r", "s").agg(F.count(F.lit(1)).alias("k"))
+            .select(F.explode(told).alias("columns"), "r", "s", "k"))
+
+
 def _alike(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(first key, r, s, k): how many keys occur r times among the rows of side r and s times among those of side s.
 
